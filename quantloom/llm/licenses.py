@@ -60,14 +60,16 @@ class Automaton:
             begin = len(self.moves) - 1
             if slot:
                 for _ in range(int(slot.partition(":")[2] or 12)):
-                    self.any[-1] = self._state()
+                    last = len(self.moves) - 1
+                    self.any[last] = self._state()
                 for state in range(begin, len(self.moves) - 1):
                     self.free[state].append(len(self.moves) - 1)
                 plain_only = False
                 continue
             words = fold_words(optional or plain)
             for word in words:
-                self.moves[-1][word] = self._state()
+                last = len(self.moves) - 1
+                self.moves[last][word] = self._state()
             if optional:
                 self.free[begin].append(len(self.moves) - 1)
                 plain_only = False
