@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, chat, licenses, media, mixing, sharding
+from quantloom.llm import bpe, chat, licenses, media, mixing, quality, sharding
 
-MODULES = (media, bpe, chat, licenses, mixing, sharding)
+MODULES = (media, bpe, chat, licenses, mixing, sharding, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
