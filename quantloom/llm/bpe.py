@@ -154,27 +154,36 @@ def _reassemble(with_ids: bool):
                 id_lists = listed.to_pylist() if listed is not None else []
                 parts = cells.field("decoded").to_pylist() if cells is not None else []
                 counts = np.array([len(x) for x in id_lists], np.int64)
+                starts = np.cumsum(counts) - counts
+                flat = np.array([i for x in id_lists for i in x], np.int32)
                 written = [",".join(map(str, x)) for x in id_lists]
                 wide = np.uint16 if len(id_lists) <= 1 << 16 else np.uint32
                 places = np.frombuffer(row["places"].as_py(), wide)
                 ends = np.frombuffer(row["ends"].as_py(), np.int64)
                 doc_ids, nulls = np.frombuffer(row["doc_ids"].as_py(), np.int64).tolist(), np.frombuffer(row["null_ids"].as_py(), np.uint8).tolist()
-                out, start = [], 0
-                for doc_id, null, end in zip(doc_ids, nulls, ends.tolist(), strict=True):
+                out, arrays, start = [], [], 0
+                for n, (doc_id, null, end) in enumerate(zip(doc_ids, nulls, ends.tolist(), strict=True), 1):
                     own = places[start:end]
                     at, start = own.tolist(), end
-                    cell = (
-                        None if null else doc_id,
-                        int(counts[own].sum()) if at else 0,
-                        hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest(),
-                        hashlib.sha256(b"".join(map(parts.__getitem__, at))).hexdigest(),
+                    size = counts[own]
+                    out.append(
+                        (
+                            None if null else doc_id,
+                            int(size.sum()),
+                            hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest(),
+                            hashlib.sha256(b"".join(map(parts.__getitem__, at))).hexdigest(),
+                        )
                     )
-                    out.append((*cell, [i for p in at for i in id_lists[p]]) if with_ids else cell)
-                    if len(out) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    if with_ids:
+                        upto = np.cumsum(size)
+                        arrays.append(flat[np.arange(upto[-1] if at else 0) + np.repeat(starts[own] - (upto - size), size)])
+                    if len(out) == 512 or n == len(doc_ids):
+                        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
+                        if with_ids:
+                            offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+                            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays))))
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                        out, arrays = [], []
 
     return run
 

@@ -96,7 +96,6 @@ def repeated_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = found.groupBy("n", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("held")).where("held > 1").drop("held")
     copies = found.join(firsts, ["n", "a", "b"]).where(F.col("place") > F.col("first"))
     out = copies.select("_ql_doc", "_ql_text", F.explode("lines").alias("line")).groupBy("_ql_doc", "_ql_text").agg(F.sort_array(F.collect_set("line")).alias("deleted"))
-    out._scratch_read = (rows, found)
     return out
 
 
@@ -111,6 +110,17 @@ def dedup_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.select(*(F.when(F.col("_ql_deleted").isNull(), F.col(f"`{c}`")).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in frame.columns), "_ql_deleted")
 
 
+def without_repeated_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
+    """frame's columns, later copies of line runs deleted; rows of which no word is left go; length_col follows the text."""
+    out = dedup_lines(frame, id_col, text_col, min_words)
+    emptied = F.col("_ql_deleted").isNotNull() & ~F.col(text_col).rlike(WORD)
+    kept = out.where(~emptied)
+    if length_col in frame.columns:
+        kind = frame.schema[length_col].dataType
+        kept = kept.withColumn(length_col, F.when(F.col("_ql_deleted").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(kind))
+    return kept.drop("_ql_deleted")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"))
     out = dedup_lines(docs)

@@ -287,6 +287,18 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
     )
 
 
+def drop_near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of frame for each group of near duplicates (its smallest id), with all columns.
+
+    Rows that repeat both id and text count as one; rows with a null id stay.
+    """
+    groups = near_duplicates(frame, shingle, percent, id_col, text_col)
+    first = groups.where("kept").groupBy(F.col("doc_id").alias("_ql_doc")).agg(F.min("th").alias("_ql_th"))
+    keyed = frame.withColumns({"_ql_doc": F.col(id_col).cast("long"), "_ql_th": F.xxhash64(F.col(text_col).cast("string"))})
+    kept = keyed.where("_ql_doc is not null").join(first, ["_ql_doc", "_ql_th"], "left_semi").dropDuplicates(["_ql_doc", "_ql_th"])
+    return kept.unionByName(keyed.where("_ql_doc is null")).select(*(F.col(f"`{c}`") for c in frame.columns))
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2).drop("th")
 

@@ -111,6 +111,17 @@ def with_label_weight(docs: DataFrame, labels: DataFrame, *columns: Column | str
     return slim.join(best, F.col("doc_id") == F.col("_label_id"), "left").drop("_label_id")
 
 
+def mixed_documents(frame: DataFrame, labels: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
+    """The rows of frame as often as the mix takes them, with all columns; repeated rows get equal results."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    slim = frame.select(F.col(id_col).alias("doc_id"), row.alias("_row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    taken = mix(with_label_weight(slim, labels, "_row", "source", "size"), F.col("size"), label_weight(F.col("_quality")), "_row", "source", seed)
+    copies = (F.col("epochs") + F.col("selected").cast("int")).alias("_ql_copies")
+    copies = taken.select(F.col("doc_id").alias("_ql_row"), copies).groupBy("_ql_row").agg(F.max("_ql_copies").alias("_ql_copies")).where("_ql_copies > 0")
+    held = frame.withColumn("_ql_row", row).join(copies, "_ql_row")
+    return held.withColumn("_ql_copy", F.explode(F.sequence(F.lit(1), F.col("_ql_copies")))).select(*(F.col(f"`{c}`") for c in frame.columns))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_label_weight(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "source", word_count(F.col("text")).alias("size"))
     return mix(docs, F.col("size"), label_weight(F.col("_quality"))).select("doc_id", "size", "source_size", "target", "taken")

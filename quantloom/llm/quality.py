@@ -149,6 +149,19 @@ def score_documents(frame: DataFrame, model: Model, id_col: str = "doc_id", text
     return texts(frame, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_quality(frame: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of frame, with all their columns, whose score is at least threshold."""
+    shared = frame.sparkSession.sparkContext.broadcast(model.logits())  # BUCKETS numbers
+    at = frame.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(t.as_py(), sums) >= threshold for t in batch.column(at)], pa.bool_()))
+
+    return frame.mapInArrow(run, frame.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
