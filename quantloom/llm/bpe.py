@@ -1,14 +1,17 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 1. Texts are cut into pre-tokens, a block of documents at a time. A block's distinct pre-tokens are
-   numbered; each document keeps its sequence of numbers, which are the pre-tokens' positions.
-2. The distinct pre-tokens of all blocks are made distinct over the corpus and each is encoded once.
-   Decoding explodes the ids of each, joins the token-byte table and reassembles by position.
-3. Ids and bytes are joined back to the blocks' dictionaries by word, and to the documents by block.
-
-Blocks are bounded by text bytes, so no group grows with the table. A very common word is one row per
-block before the join and one row after distinct; the join on it is split by adaptive execution. The
-token-byte table has as many rows as the vocabulary has ranks (50,256 here), which bounds its broadcast.
+   numbered; each document keeps its sequence of numbers, which are the positions of its pre-tokens.
+2. The blocks' words are exploded and dealt out by word, sorted, and each distinct word is encoded once;
+   its ids go back to every (block, number) that has it.
+3. Ids are gathered by block and joined to the block's documents, which put them together by position.
+   Decoding looks every id up in the token-byte table (as many rows as the vocabulary has ranks, 50,256
+   here, held by each worker: a map-side join) and joins the bytes. decode_ids() does the same for any table of ids with
+   DataFrame operations.
+
+Blocks are written bucketed by their name to the shared folder, so the documents are not shuffled at all
+and a lost executor doesn't cost the tokenisation. Blocks are bounded by text bytes, so no group grows with
+the table; a very common word is one row per block, streamed through its task, never collected.
 
 Defined results: a null text is the empty text, which has no ids; repeated rows give repeated results;
 an empty table gives an empty table; other columns of the input are not read. A null array of ids
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +30,16 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import read_table, scratch, texts
+from quantloom.llm.common import own_scratch, read_table, shared_dir, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: A block of documents ends at this many bytes of text or documents.
-BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
+#: A block of documents ends at this many characters of text or documents.
+BLOCK_CHARS, BLOCK_DOCS = 16 << 20, 16384
+BUCKETS = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,15 +47,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class _Encoder:
+class _Vocabulary:
     """Loaded once per Python worker."""
 
-    held: dict[tuple[str, str], tiktoken.Encoding] = {}
+    held: dict[tuple[str, str], _Vocabulary] = {}
+
+    def __init__(self, path: str, pattern: str):
+        ranks = load_ranks(path)
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.wide = np.uint16 if len(self.tokens) <= 1 << 16 else np.uint32
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> tiktoken.Encoding:
+    def of(cls, path: str, pattern: str) -> _Vocabulary:
         if (path, pattern) not in cls.held:
-            cls.held[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+            cls.held[path, pattern] = cls(path, pattern)
         return cls.held[path, pattern]
 
 
@@ -59,60 +73,77 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append(row)
             size += len(row[1] or "")
-            if size >= BLOCK_BYTES or len(rows) >= BLOCK_DOCS:
+            if size >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
                 yield rows
                 rows, size = [], 0
     if rows:
         yield rows
 
 
-SPLIT = "block string, n_docs int, doc_ids binary, null_ids binary, ends binary, places binary, words array<string>"
-_SPLIT_ARROW = pa.schema([("block", pa.string()), ("n_docs", pa.int32()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("ends", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
-
-
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         return n
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+SPLIT = "block long, doc_ids binary, null_ids binary, sizes binary, places binary, words array<string>"
+
+
 def split_blocks(frame: DataFrame, pattern: str) -> DataFrame:
     """One row per block: its distinct pre-tokens, and for each document the numbers of its pre-tokens in order."""
 
     def run(batches):
-        find = regex.compile(pattern).findall
+        find, names = regex.compile(pattern).findall, [x.split()[0] for x in SPLIT.split(", ")]
         for rows in _blocks(batches):
-            numbers, places, ends = _Numbers(), [], []
+            numbers, parts = _Numbers(), []
             for _, text in rows:
-                places.extend(map(numbers.__getitem__, find(text or "")))
-                ends.append(len(places))
-            wide = np.uint16 if len(numbers) <= 1 << 16 else np.uint32
+                found = find(text or "")
+                parts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
             ids = np.array([r[0] or 0 for r in rows], np.int64)
-            nulls = np.array([r[0] is None for r in rows], np.uint8)
-            name = hashlib.sha256(ids.tobytes())
-            for _, text in rows:
-                name.update((text or "").encode() + b"\0")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name.hexdigest()]), pa.array([len(rows)], pa.int32()), pa.array([ids.tobytes()]), pa.array([nulls.tobytes()]),
-                    pa.array([np.array(ends, np.int64).tobytes()]), pa.array([np.array(places, wide).tobytes()]), pa.array([list(numbers)], pa.list_(pa.string())),
-                ],
-                schema=_SPLIT_ARROW,
-            )
+            nulls = bytes(r[0] is None for r in rows)
+            block = int.from_bytes(uuid.uuid4().bytes[:8], "little", signed=True)  # written once, then fixed
+            cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in parts])), pack(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cells), pa.array([list(numbers)], pa.list_(pa.string()))], names)
 
     return texts(frame).mapInArrow(run, SPLIT)
 
 
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """Written once, bucketed by block: later joins on block leave it where it is."""
+    spark = blocks.sparkSession
+    name = f"ql_bpe_blocks_{uuid.uuid4().hex}"
+    path = own_scratch(spark, f"{shared_dir(spark)}/{name}")
+    blocks.write.option("path", path).option("compression", "zstd").bucketBy(BUCKETS, "block").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """word, ids: the ids of each row's single pre-token."""
+    """block, slot, word -> block, cell: the slot (4 bytes) and the ids of its word, each distinct word encoded once."""
 
     def run(batches):
-        encode = _Encoder.of(path, pattern)._encode_single_piece
+        own = _Vocabulary.of(path, pattern)
+        last, ids = None, b""
         for batch in batches:
-            column = batch.column(0)
-            yield pa.RecordBatch.from_arrays([column, pa.array([encode(w) for w in column.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            cells = []
+            for slot, word in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if word != last:
+                    last, ids = word, np.array(own.encode(word), own.wide).tobytes()
+                cells.append(slot.to_bytes(4, "little") + ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["block", "cell"])
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    dealt = words.select("block", "slot", "word").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "block long, cell binary")
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -122,18 +153,16 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_ids(frame: DataFrame, key: str, ids: str, tokens: DataFrame) -> DataFrame:
-    """key, ids, decoded (binary): explodes the ids, joins the token-byte table, reassembles by position.
+    """key, decoded (binary): explodes the ids, joins the token-byte table, reassembles by position.
 
     Keys must be distinct. Hex digits stand for the bytes while they are concatenated.
     """
     parts = frame.select(F.col(key).alias("_key"), F.posexplode_outer(ids).alias("_at", "_id"))
-    joined = parts.join(F.broadcast(tokens.select(F.col("id").alias("_id"), F.hex("token").alias("_hex"))), "_id", "left")
+    joined = parts.join(F.broadcast(tokens.select(F.col("id").alias("_id"), F.hex("token").alias("_hex"))), "_id", "left")  # as many rows as ranks
     checked = F.when(F.col("_id").isNotNull() & F.col("_hex").isNull(), F.raise_error(F.lit("an id is not in the token table"))).otherwise(F.col("_hex"))
-    cells = F.array_sort(F.collect_list(F.struct("_at", checked.alias("_hex"), "_id")))
+    cells = F.array_sort(F.collect_list(F.struct("_at", checked.alias("_hex"))))
     return joined.groupBy("_key").agg(cells.alias("_cells")).select(
-        F.col("_key").alias(key),
-        F.transform(F.filter("_cells", lambda c: c["_id"].isNotNull()), lambda c: c["_id"]).alias(ids),
-        F.unhex(F.array_join(F.transform("_cells", lambda c: F.coalesce(c["_hex"], F.lit(""))), "")).alias("decoded"),
+        F.col("_key").alias(key), F.unhex(F.array_join(F.transform("_cells", lambda c: F.coalesce(c["_hex"], F.lit(""))), "")).alias("decoded")
     )
 
 
@@ -141,49 +170,59 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 _ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
 
 
-def _reassemble(with_ids: bool):
-    """Documents of blocks that stand beside their dictionary (sorted by number)."""
+class _Dictionary:
+    """The ids of a block's words, by their numbers."""
+
+    def __init__(self, cells: list[bytes], own: _Vocabulary):
+        unit = np.dtype(own.wide).itemsize
+        flat = np.frombuffer(b"".join(cells), own.wide)
+        lengths = np.fromiter(map(len, cells), np.int64, len(cells)) // unit
+        begin = np.cumsum(lengths) - lengths
+        head = 4 // unit
+        slots = np.array([int.from_bytes(c[:4], "little") for c in cells], np.int64)
+        self.counts, self.starts = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+        self.counts[slots], self.starts[slots], self.flat = lengths - head, begin + head, flat
+        ids = flat.tolist()
+        self.written = [",".join(map(str, ids[a : a + n])) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        size = self.counts[places]
+        upto = np.cumsum(size)
+        return self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.starts[places] - (upto - size), size)]
+
+
+def _reassemble(with_ids: bool, path: str, pattern: str):
+    """Documents of blocks that stand beside the cells of their words."""
+    schema = _ENCODED_ARROW if with_ids else pa.schema(list(_ENCODED_ARROW)[:4])
+
+    def batch_of(rows: list[tuple], arrays: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
-        schema = _ENCODED_ARROW if with_ids else pa.schema(list(_ENCODED_ARROW)[:4])
+        own = _Vocabulary.of(path, pattern)
+        token = own.tokens.__getitem__
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
-                cells = row["cells"].values if row["cells"].is_valid else None
-                listed = cells.field("ids") if cells is not None else None
-                id_lists = listed.to_pylist() if listed is not None else []
-                parts = cells.field("decoded").to_pylist() if cells is not None else []
-                counts = np.array([len(x) for x in id_lists], np.int64)
-                starts = np.cumsum(counts) - counts
-                flat = np.array([i for x in id_lists for i in x], np.int32)
-                written = [",".join(map(str, x)) for x in id_lists]
-                wide = np.uint16 if len(id_lists) <= 1 << 16 else np.uint32
-                places = np.frombuffer(row["places"].as_py(), wide)
-                ends = np.frombuffer(row["ends"].as_py(), np.int64)
-                doc_ids, nulls = np.frombuffer(row["doc_ids"].as_py(), np.int64).tolist(), np.frombuffer(row["null_ids"].as_py(), np.uint8).tolist()
-                out, arrays, start = [], [], 0
-                for n, (doc_id, null, end) in enumerate(zip(doc_ids, nulls, ends.tolist(), strict=True), 1):
-                    own = places[start:end]
-                    at, start = own.tolist(), end
-                    size = counts[own]
-                    out.append(
-                        (
-                            None if null else doc_id,
-                            int(size.sum()),
-                            hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest(),
-                            hashlib.sha256(b"".join(map(parts.__getitem__, at))).hexdigest(),
-                        )
-                    )
-                    if with_ids:
-                        upto = np.cumsum(size)
-                        arrays.append(flat[np.arange(upto[-1] if at else 0) + np.repeat(starts[own] - (upto - size), size)])
-                    if len(out) == 512 or n == len(doc_ids):
-                        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
-                        if with_ids:
-                            offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-                            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays))))
-                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                        out, arrays = [], []
+                ids_bytes, nulls, sizes, packed, cells = (batch.column(c)[k].as_py() for c in ("doc_ids", "null_ids", "sizes", "places", "cells"))
+                words = _Dictionary(cells or [], own)
+                places, rows, arrays, start = unpack(packed).astype(np.int64), [], [], 0
+                for doc_id, null, size in zip(np.frombuffer(ids_bytes, np.int64).tolist(), nulls, unpack(sizes).tolist(), strict=True):
+                    at = places[start : start + size]
+                    start += size
+                    ids = words.ids(at)
+                    listed = ",".join(map(words.written.__getitem__, at.tolist()))
+                    decoded = b"".join(map(token, ids.tolist()))
+                    rows.append((None if null else doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                    arrays.append(ids if with_ids else ids[:0])
+                    if len(rows) == 512:
+                        yield batch_of(rows, arrays)
+                        rows, arrays = [], []
+                if rows:
+                    yield batch_of(rows, arrays)
 
     return run
 
@@ -191,15 +230,11 @@ def _reassemble(with_ids: bool):
 def encode_documents(frame: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each document."""
     path = path or public_tokenizers.path(VOCABULARY)
-    spark = frame.sparkSession
-    blocks = scratch(split_blocks(frame, pattern), "bpe-blocks")
+    blocks = _bucketed(split_blocks(frame, pattern))
     slots = blocks.select("block", F.posexplode("words").alias("slot", "word"))
-    encoded = encode_words(slots.select("word").distinct(), path, pattern)
-    words = decode_ids(encoded, "word", "ids", token_table(spark, path))
-    found = slots.join(words, "word")
-    cells = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "ids", "decoded"))).alias("cells"))
-    both = blocks.drop("words", "n_docs").join(cells, "block", "left")
-    return both.mapInArrow(_reassemble(with_ids), ENCODED if with_ids else ENCODED.rpartition(",")[0])
+    cells = encode_words(slots, path, pattern).groupBy("block").agg(F.collect_list("cell").alias("cells"))
+    both = blocks.drop("words").join(cells, "block", "left")
+    return both.mapInArrow(_reassemble(with_ids, path, pattern), ENCODED if with_ids else ENCODED.rpartition(",")[0])
 
 
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,12 @@ def _drop_all() -> None:
             pass
 
 
+def own_scratch(spark: SparkSession, path: str) -> str:
+    """Marks a path in the shared folder for deletion when the driver ends."""
+    _scratch[path] = spark
+    return path
+
+
 def scratch(frame: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -71,7 +77,7 @@ def scratch(frame: DataFrame, name: str) -> DataFrame:
     frame.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._scratch_path = path
-    _scratch[path] = spark
+    own_scratch(spark, path)
     return out
 
 
