@@ -1,0 +1,320 @@
+"""Readers of search-engine reports. Columns are pruned and filters are expressions, so both reach the scan."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
+from pathlib import PurePath
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quantloom.dataset import SiteDataset
+from quantloom.functions import keys
+from quantloom.functions import peptides as P
+from quantloom.sources import fasta
+from quantloom.schema import (
+    ASSAY_PROB, CONTAMINANT_PREFIXES, DECOY, FG_ID, GENES, LOC_PROBS, PG_QVALUE, POSITION, PRECURSOR, PROTEINS, QUANT, QVALUE, REQUIRED, SAMPLE, UNIMOD_PHOSPHO,
+    DiannSettings, FragpipeSettings, SpectronautSettings, all_needed_columns, resolve_quant_column,
+)
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A report by its suffix: .parquet, .csv, or tab-separated .tsv and .txt (all columns text, no inference pass)."""
+    suffix = PurePath(path.rstrip("/")).suffix.lower()
+    if suffix == ".parquet":
+        return spark.read.parquet(path)
+    if suffix in (".tsv", ".txt", ".csv"):
+        return spark.read.csv(path, header=True, sep="," if suffix == ".csv" else "\t", nullValue="", nanValue="NaN")
+    raise ValueError(f"unknown report suffix {suffix!r}; known: .parquet, .tsv, .txt, .csv")
+
+
+def report_columns(spark: SparkSession, path: str) -> list[str]:
+    return read_any(spark, path).columns
+
+
+@dataclass(frozen=True)
+class ReportFormat:
+    engine: str
+    shape: str
+
+
+def detect_report_format(columns: Iterable[str]) -> ReportFormat:
+    """Engine and shape (long or short) from column names alone."""
+    names = {dotted(c) for c in columns}
+    if {"Protein.Group", "First.Protein.Description"} <= names and "Run" not in names:
+        return ReportFormat("diann", "short")
+    if {"Run", "Precursor.Charge"} <= names:
+        return ReportFormat("diann", "long")
+    if SAMPLE in names:
+        return ReportFormat("spectronaut", "long")
+    if any(SHORT_QUANT.match(c) for c in columns):
+        return ReportFormat("spectronaut", "short")
+    if {"Index", "ProteinID", "Multiplicity"} <= names:
+        return ReportFormat("fragpipe", "short")
+    raise ValueError("the columns are those of no known report")
+
+
+def dotted(name: str) -> str:
+    """`EG_TotalQuantity_(Settings)` -> `EG.TotalQuantity (Settings)`."""
+    if re.match(r"^[A-Z]{1,3}_", name):
+        name = name.replace("_", ".", 1)
+    return name.replace("_(", " (")
+
+
+def number(name: str) -> Column:
+    """A double whatever the column's type; text that is no number and NaN are null."""
+    return F.nanvl(F.col(f"`{name}`").cast("string").try_cast("double"), F.lit(None))
+
+
+def _needs(frame: DataFrame, names: Iterable[str], what: str) -> None:
+    missing = [n for n in names if n not in frame.columns]
+    if missing:
+        raise ValueError(f"{what} lacks the columns {', '.join(missing)}")
+
+
+def is_decoy(name: str = DECOY) -> Column:
+    """True, any number but 0, or the text true or 1; other text fails."""
+    text = F.lower(F.trim(F.col(f"`{name}`").cast("string")))
+    value = text.try_cast("double")
+    return F.when(text.isin("true", "1"), True).when(text.isNull() | text.isin("false", "0", ""), False).when(value.isNotNull(), value != 0).otherwise(F.raise_error(F.concat(F.lit("no decoy flag: "), text)))
+
+
+def contaminant(group: Column, accessions: Iterable[str] = (), prefixes: tuple[str, ...] = CONTAMINANT_PREFIXES, require_all: bool = True) -> Column:
+    """Whether all (or any) members of a `;` group are contaminants, by prefix or by accession without isoform."""
+    members = F.filter(F.transform(F.split(group, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    known = sorted(set(accessions))
+    listed = F.array(*map(F.lit, known)) if known else None
+
+    def one(p: Column) -> Column:
+        tagged = F.lit(False)
+        for prefix in prefixes:
+            tagged = tagged | p.startswith(prefix)
+        return tagged if listed is None else tagged | F.array_contains(listed, F.substring_index(p, "-", 1))
+
+    own = F.forall(members, one) if require_all else F.exists(members, one)
+    return F.coalesce((F.size(members) > 0) & own, F.lit(False))
+
+
+def filter_contaminants(frame: DataFrame, fasta_path: str | None = None, column: str = PROTEINS, require_all: bool = True) -> DataFrame:
+    """The list of contaminants is a few hundred accessions of a file on the driver."""
+    accessions = fasta.fasta_accessions(fasta_path) if fasta_path else ()
+    return frame.where(~contaminant(F.col(f"`{column}`"), accessions, require_all=require_all))
+
+
+# ---- SILAC
+
+LABELS = {"Arg6": "medium", "Lys4": "medium", "Arg10": "heavy", "Lys8": "heavy"}
+
+
+def validate_label_channels(labels: dict[str, str]) -> dict[str, str]:
+    if not labels:
+        raise ValueError("there are no label tags")
+    for tag, channel in labels.items():
+        if not isinstance(tag, str) or not tag or not isinstance(channel, str) or not channel:
+            raise ValueError("tags and channels must be non-empty text")
+        if channel == "light":
+            raise ValueError("'light' is the channel of unlabelled precursors")
+    return labels
+
+
+def _channels(fg_id: Column, labels: dict[str, str]) -> Column:
+    pairs = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    tags = F.regexp_extract_all(fg_id, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.try_element_at(pairs, t)), lambda c: c.isNotNull()))
+
+
+def derive_channel(fg_id: Column, labels: dict[str, str] | None = None) -> Column:
+    """No tag: light; tags of two channels fail."""
+    own = _channels(fg_id, validate_label_channels(labels or LABELS))
+    return F.when(F.size(own) == 0, "light").when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("labels of several channels: "), fg_id)))
+
+
+def label_tags_present(frame: DataFrame, labels: dict[str, str] | None = None, column: str = FG_ID) -> list[str]:
+    known = validate_label_channels(labels or LABELS)
+    tags = F.explode(F.regexp_extract_all(F.col(f"`{column}`"), F.lit(r"\[([^\]]+)\]"), F.lit(1)))
+    return sorted(r[0] for r in frame.select(tags.alias("t")).where(F.col("t").isin(*known)).distinct().collect())
+
+
+def detect_multichannel(frame: DataFrame, labels: dict[str, str] | None = None) -> list[str]:
+    return label_tags_present(frame, labels) if FG_ID in frame.columns else []
+
+
+def describe_channels(frame: DataFrame, channel: str = "Channel") -> DataFrame:
+    order = F.create_map(*(F.lit(x) for x in ("light", 0, "medium", 1, "heavy", 2)))
+    return frame.groupBy(channel).count().orderBy(F.coalesce(F.try_element_at(order, F.col(channel)), F.lit(3)), channel)
+
+
+# ---- Spectronaut
+
+
+def read_spectronaut(spark: SparkSession, path: str, advanced: dict | None = None) -> DataFrame:
+    s = SpectronautSettings.of(advanced)
+    raw = read_any(spark, path)
+    raw = raw.withColumnsRenamed({c: dotted(c) for c in raw.columns if dotted(c) != c})
+    _needs(raw, REQUIRED["spectronaut"], "a Spectronaut report")
+    wanted = all_needed_columns("spectronaut")
+    out = raw.select(*(F.col(f"`{c}`") for c in raw.columns if c in wanted))
+    numeric = [c for c in (QVALUE, PG_QVALUE, QUANT, "FG.MS1Quantity", "FG.MS2Quantity", ASSAY_PROB, "EG.ApexRT") if c in out.columns]
+    out = out.withColumns({c: number(c) for c in numeric})
+    if s.drop_decoys and DECOY in out.columns:
+        out = out.where(~is_decoy())
+    for column, most in ((QVALUE, s.qvalue_max), (PG_QVALUE, s.pg_qvalue_max)):
+        if most is not None and column in out.columns:
+            out = out.where(F.col(f"`{column}`") <= most)
+    if s.drop_contaminants:
+        out = filter_contaminants(out, s.contaminants_fasta)
+    if FG_ID in out.columns:
+        out = out.withColumn("_channel", derive_channel(F.coalesce(F.col(f"`{FG_ID}`"), F.lit(""))))
+        labelled = out.where("_channel <> 'light'").limit(1).count()
+        out = out.withColumnRenamed("_channel", "Channel") if labelled else out.drop("_channel")
+    return out
+
+
+# ---- DIA-NN
+
+
+def diann_to_psm(raw: DataFrame, advanced: dict | None = None) -> DataFrame:
+    """Canonical rows: gene present, quality cuts (each if its column exists), phospho, localization, start position."""
+    s = DiannSettings.of(advanced)
+    _needs(raw, REQUIRED["diann"], "a DIA-NN report")
+    out = raw.where(F.col("Genes").isNotNull() & (F.col("Genes") != ""))
+    cuts = (("`PG.Q.Value`", s.pg_qvalue_max, False), ("`Global.PG.Q.Value`", s.global_qvalue_max, False), ("`Lib.PG.Q.Value`", s.lib_qvalue_max, False), ("`Quantity.Quality`", s.quality_min, True), ("`PG.MaxLFQ.Quality`", s.maxlfq_quality_min, True))
+    for column, bound, least in cuts:
+        if column.strip("`") in raw.columns:
+            value = number(column.strip("`"))
+            out = out.where(value >= bound if least else value <= bound)
+    modified, sites = F.col("`Modified.Sequence`"), F.col("`Protein.Sites`")
+    out = out.where(modified.contains(UNIMOD_PHOSPHO))
+    occupancy = F.col("`Site.Occupancy.Probabilities`") if "Site.Occupancy.Probabilities" in raw.columns else F.lit(None).cast("string")
+    if s.require_locprobs and "Site.Occupancy.Probabilities" in raw.columns:
+        out = out.where(occupancy.isNotNull() & (occupancy != ""))
+    percent = F.regexp_replace(F.regexp_replace(F.regexp_replace(occupancy, r"\(UniMod:\d+\)", ""), r"\d+$", ""), r"\{([\d.]+)\}", "[Phospho (STY): $1]")
+    cells = P.diann_localization(occupancy)
+    pieces = F.split(percent, r"\[Phospho \(STY\): [\d.]+\]")
+    spelled = F.concat(F.lit("_"), F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.concat(F.lit("[Phospho (STY): "), F.format_string("%s", F.get(cells, i)["prob"] * 100), F.lit("%]")), F.lit("")))), ""), F.lit("_"))
+    leading = F.trim(F.split(F.col("`Protein.Group`"), ";")[0])
+    out = out.select(
+        P.run_name(F.col("Run")).alias(SAMPLE), F.col("`Protein.Group`").alias(PROTEINS), F.col("Genes").alias(GENES),
+        P.diann_start(modified, sites, leading).cast("string").alias(POSITION), P.diann_precursor(modified, F.col("`Precursor.Charge`")).alias(PRECURSOR),
+        number("PTM.Site.Confidence").alias(ASSAY_PROB), spelled.alias(LOC_PROBS), number(resolve_quant_column(raw.columns, "diann")).alias(QUANT),
+    ).where(F.col(f"`{POSITION}`").isNotNull())
+    return filter_contaminants(out) if s.drop_contaminants else out
+
+
+def read_diann(spark: SparkSession, path: str, advanced: dict | None = None) -> DataFrame:
+    return diann_to_psm(read_any(spark, path), advanced)
+
+
+# ---- FragPipe
+
+FRAGPIPE_META = ("Index", "Gene", "ProteinID", "Peptide", "SequenceWindow", "Multiplicity", "Best Localization", "Best Scan for Localization", "Best Precursor for Quant")
+
+
+def abundance_file(settings: FragpipeSettings) -> str:
+    """The name of the table in a result folder."""
+    return f"abundance_{settings.multiplicity}-site_{settings.quant_level}quant_{'Norm' if settings.normalised else 'None'}.tsv"
+
+
+def parse_fragpipe_index(index: Column) -> dict[str, Column]:
+    """`P10644_S77`: everything before the last underscore is the protein."""
+    pattern = r"^(.+)_([A-Z])(\d+)$"
+    return {"protein": F.nullif(F.regexp_extract(index, pattern, 1), F.lit("")), "residue": F.nullif(F.regexp_extract(index, pattern, 2), F.lit("")), "position": F.regexp_extract(index, pattern, 3).try_cast("int")}
+
+
+def read_fragpipe_sites(spark: SparkSession, path: str, samples: DataFrame | None = None, advanced: dict | None = None) -> SiteDataset:
+    s = FragpipeSettings.of(advanced)
+    raw = read_any(spark, path if PurePath(path).suffix else f"{path.rstrip('/')}/{abundance_file(s)}")
+    _needs(raw, FRAGPIPE_META, "a FragPipe site table")
+    raw = raw.where(F.coalesce(number("Best Localization"), F.lit(-1.0)) >= s.best_localization_min)
+    names = {c: re.sub(r"\.[A-Za-z]\w*$", "", re.sub(r"^.*[\\/]", "", c)).removesuffix("_uncalibrated") for c in raw.columns if c not in FRAGPIPE_META}
+    if len(set(names.values())) < len(names):
+        raise ValueError("two sample columns have one name")
+    # columns that hold no number at all are not samples
+    counts = raw.agg(*(F.count(number(c)).alias(str(i)) for i, c in enumerate(names))).first() if names else []
+    numeric = [c for i, c in enumerate(names) if counts[i]]
+    index = parse_fragpipe_index(F.col("Index"))
+    own = raw.withColumns({"_protein": index["protein"], "_residue": index["residue"], "_position": index["position"]}).where("_position is not null")
+    feature = keys.full_key(F.col("_protein"), F.col("Gene"), F.col("_residue"), F.col("_position"), F.col("Multiplicity"))
+    own = own.withColumn("feature", feature).withColumn("loc_prob", number("Best Localization"))
+    wide = own.select("feature", "loc_prob", *(number(c).alias(names[c]) for c in numeric))
+    long = wide.unpivot(["feature", "loc_prob"], [names[c] for c in numeric], "sample", "q")
+    measure = long.select("feature", "sample", F.when(F.col("q") > 0, F.log2("q")).alias("intensity"), "loc_prob")
+    sequence = P.window_to_kinase_sequence(F.col("SequenceWindow"), F.col("_residue"))
+    features = own.select("feature", F.col("_protein").alias("protein_group_id"), F.col("Gene").alias("gene"), F.col("_residue").alias("residue"), F.col("_position").alias("site_position"), F.col("Multiplicity").cast("int").alias("multiplicity"), "Peptide", sequence.alias("kinase_sequence"), "loc_prob")
+    found = spark.createDataFrame([(names[c],) for c in numeric], "sample string")
+    return SiteDataset(measure, features, found.join(samples.dropDuplicates(["sample"]), "sample", "left") if samples is not None else found, [("read_fragpipe", str(s))])
+
+
+# ---- proteome tables
+
+SHORT_QUANT = re.compile(r"^\[\d+\] (.+?)(?:\.(?:raw|d|wiff2?|mzML|htrms))?\.PG\.Quantity$")
+
+
+def _wide_proteins(raw: DataFrame, names: dict[str, str], protein: str) -> tuple[DataFrame, DataFrame]:
+    if not names:
+        raise ValueError("there are no quantity columns")
+    if len(set(names.values())) < len(names):
+        raise ValueError("a run occurs twice")
+    wide = raw.select(F.col(f"`{protein}`").alias("feature"), *(number(c).alias(n) for c, n in names.items()))
+    long = wide.unpivot(["feature"], list(names.values()), "sample", "q")
+    rest = [F.col(f"`{c}`") for c in raw.columns if c not in names and c != protein]
+    return long.select("feature", "sample", F.when(F.col("q") > 0, F.log2("q")).alias("intensity")), raw.select(F.col(f"`{protein}`").alias("feature"), *rest)
+
+
+def read_spectronaut_short(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """measure(feature, sample, intensity) and features of a wide protein table."""
+    raw = read_any(spark, path)
+    return _wide_proteins(raw, {c: m[1] for c in raw.columns if (m := SHORT_QUANT.match(c))}, PROTEINS)
+
+
+DIANN_META = ("Protein.Group", "Protein.Ids", "Protein.Names", "Genes", "First.Protein.Description", "N.Sequences", "N.Proteotypic.Sequences")
+
+
+def read_diann_pg_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    raw = read_any(spark, path)
+    stem = lambda c: re.sub(r"(?i)\.(raw|d|wiff2?|mzml|dia)$", "", re.sub(r"^.*[\\/]", "", c))
+    return _wide_proteins(raw, {c: stem(c) for c in raw.columns if c not in DIANN_META}, "Protein.Group")
+
+
+def read_spectronaut_long(spark: SparkSession, path: str, level: str | None = "MS2", pg_qvalue_max: float = 0.01, eg_qvalue_max: float = 0.01, drop_decoys: bool = True, drop_contaminants: bool = True, contaminants_fasta: str | None = None) -> DataFrame:
+    """Proteome precursors: `quant` beside the report's columns; rows without a q value go."""
+    raw = read_any(spark, path)
+    raw = raw.withColumnsRenamed({c: dotted(c) for c in raw.columns if dotted(c) != c})
+    if not {PRECURSOR, "EG.ModifiedSequence", "PEP.StrippedSequence"} & set(raw.columns):
+        raise ValueError("a precursor column is needed")
+    out = raw.withColumn("quant", number(resolve_quant_column(raw.columns, "spectronaut", level)))
+    for column, most in ((PG_QVALUE, pg_qvalue_max), (QVALUE, eg_qvalue_max)):
+        if column in raw.columns:
+            out = out.where(number(column) <= most)
+    if drop_decoys and DECOY in raw.columns:
+        out = out.where(~is_decoy())
+    return filter_contaminants(out, contaminants_fasta) if drop_contaminants else out
+
+
+# ---- acquisition queue
+
+
+def load_acquisition_queue(spark: SparkSession, path: str, blank_pattern: str = r"(?i)blank") -> DataFrame:
+    """sample, injection_order, position, instrument_method; blanks keep their number but go.
+
+    A queue is one instrument's run list: a small file, numbered by its line offsets.
+    """
+    lines = [r[0] for r in spark.read.text(path, wholetext=True).select("value").collect()]
+    rows = [line for text in lines for line in text.splitlines() if line.strip()]
+    if rows and rows[0].startswith("Bracket Type="):
+        rows = rows[1:]
+    if not rows or "File Name" not in rows[0].split(","):
+        raise ValueError("no acquisition queue: the header has no 'File Name'")
+    header = [h.strip() for h in rows[0].split(",")]
+    cells = [dict(zip(header, line.split(","), strict=False)) for line in rows[1:]]
+    table = [(c.get("File Name", "").strip(), i, c.get("Position", "").strip(), c.get("Instrument Method", "").strip()) for i, c in enumerate(cells, 1)]
+    kept = [r for r in table if r[0] and not re.search(blank_pattern, r[0])]
+    return spark.createDataFrame(kept, "sample string, injection_order int, position string, instrument_method string")
+
+
+def first_of(frame: DataFrame, by: str, order: str) -> DataFrame:
+    """The first row of each key."""
+    return frame.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order))).where("_n = 1").drop("_n")
