@@ -2,16 +2,18 @@
 
 1. Texts are cut into pre-tokens, a block of documents at a time. A block's distinct pre-tokens are
    numbered; each document keeps its sequence of numbers, which are the positions of its pre-tokens.
-2. The blocks' words are exploded and dealt out by word, sorted, and each distinct word is encoded once;
-   its ids go back to every (block, number) that has it.
-3. Ids are gathered by block and joined to the block's documents, which put them together by position.
+   Words are numbered part by part: a part holds the words of one hash class.
+2. The parts of all blocks are dealt out by hash class, so equal words of all blocks meet in one task,
+   and each distinct word is encoded once there. A part's ids go back in the order of its words.
+3. Parts are gathered by block and joined to the block's documents, which put ids together by position.
    Decoding looks every id up in the token-byte table (as many rows as the vocabulary has ranks, 50,256
-   here, held by each worker: a map-side join) and joins the bytes. decode_ids() does the same for any table of ids with
-   DataFrame operations.
+   here, held by each worker: a map-side join) and joins the bytes. decode_ids() does the same for any
+   table of ids with DataFrame operations.
 
 Blocks are written bucketed by their name to the shared folder, so the documents are not shuffled at all
-and a lost executor doesn't cost the tokenisation. Blocks are bounded by text bytes, so no group grows with
-the table; a very common word is one row per block, streamed through its task, never collected.
+and a lost executor doesn't cost the tokenisation. Blocks are bounded by text and documents, parts by
+blocks, so no group grows with the table; a very common word is one entry per block. A worker remembers
+at most WORDS_HELD words (then it starts anew), which bounds its memory.
 
 Defined results: a null text is the empty text, which has no ids; repeated rows give repeated results;
 an empty table gives an empty table; other columns of the input are not read. A null array of ids
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,8 @@ from quantloom.llm.common import own_scratch, read_table, shared_dir, texts
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block of documents ends at this many characters of text or documents.
 BLOCK_CHARS, BLOCK_DOCS = 16 << 20, 16384
-BUCKETS = 64
+#: Files that blocks are bucketed into, hash classes of words, words that a worker remembers.
+BUCKETS, PARTS, WORDS_HELD = 64, 256, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +62,6 @@ class _Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.wide = np.uint16 if len(self.tokens) <= 1 << 16 else np.uint32
 
     @classmethod
     def of(cls, path: str, pattern: str) -> _Vocabulary:
@@ -97,24 +100,44 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-SPLIT = "block long, doc_ids binary, null_ids binary, sizes binary, places binary, words array<string>"
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, words), "<u4", len(words))
+    return len(words).to_bytes(4, "little") + zstandard.compress(lengths.tobytes() + b"".join(words), 3)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    n, raw = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:])
+    ends = (4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=False)]
+
+
+SPLIT = "block long, doc_ids binary, null_ids binary, sizes binary, places binary, parts array<binary>"
 
 
 def split_blocks(frame: DataFrame, pattern: str) -> DataFrame:
-    """One row per block: its distinct pre-tokens, and for each document the numbers of its pre-tokens in order."""
+    """One row per block: the words of its parts, and for each document the numbers of its pre-tokens in order."""
 
     def run(batches):
         find, names = regex.compile(pattern).findall, [x.split()[0] for x in SPLIT.split(", ")]
         for rows in _blocks(batches):
-            numbers, parts = _Numbers(), []
+            numbers, found = _Numbers(), []
             for _, text in rows:
-                found = find(text or "")
-                parts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                own = find(text or "")
+                found.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
+            words = [w.encode() for w in numbers]
+            classes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % PARTS
+            order = np.argsort(classes, kind="stable")
+            renumbered = np.empty(len(words), np.uint32)
+            renumbered[order] = np.arange(len(words), dtype=np.uint32)
+            cuts = np.searchsorted(classes[order], np.arange(PARTS + 1)).tolist()
+            listed = order.tolist()
+            parts = [pack_words([words[i] for i in listed[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
             ids = np.array([r[0] or 0 for r in rows], np.int64)
             nulls = bytes(r[0] is None for r in rows)
             block = int.from_bytes(uuid.uuid4().bytes[:8], "little", signed=True)  # written once, then fixed
-            cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in parts])), pack(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cells), pa.array([list(numbers)], pa.list_(pa.string()))], names)
+            places = renumbered[np.concatenate(found)] if words else np.zeros(0, np.uint32)
+            cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in found])), pack(places)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cells), pa.array([parts], pa.list_(pa.binary()))], names)
 
     return texts(frame).mapInArrow(run, SPLIT)
 
@@ -128,22 +151,24 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """block, slot, word -> block, cell: the slot (4 bytes) and the ids of its word, each distinct word encoded once."""
+def encode_parts(parts: DataFrame, path: str, pattern: str) -> DataFrame:
+    """block, part, words -> block, part, n, ids: the number of words; packed, how many ids each has and then the ids."""
 
     def run(batches):
-        own = _Vocabulary.of(path, pattern)
-        last, ids = None, b""
+        own, held = _Vocabulary.of(path, pattern), {}
         for batch in batches:
-            cells = []
-            for slot, word in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if word != last:
-                    last, ids = word, np.array(own.encode(word), own.wide).tobytes()
-                cells.append(slot.to_bytes(4, "little") + ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["block", "cell"])
+            for k in range(batch.num_rows):
+                words = unpack_words(batch.column(2)[k].as_py())
+                if len(held) > WORDS_HELD:
+                    held.clear()
+                for word in words:
+                    if word not in held:
+                        held[word] = own.encode(word)
+                lists = [held[word] for word in words]
+                numbers = [len(x) for x in lists] + [i for x in lists for i in x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(words)], pa.int32()), pa.array([pack(np.array(numbers))], pa.binary())], ["block", "part", "n", "ids"])
 
-    dealt = words.select("block", "slot", "word").repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block long, cell binary")
+    return parts.select("block", "part", "words").repartition("part").mapInArrow(run, "block long, part int, n int, ids binary")
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -173,17 +198,16 @@ _ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("
 class _Dictionary:
     """The ids of a block's words, by their numbers."""
 
-    def __init__(self, cells: list[bytes], own: _Vocabulary):
-        unit = np.dtype(own.wide).itemsize
-        flat = np.frombuffer(b"".join(cells), own.wide)
-        lengths = np.fromiter(map(len, cells), np.int64, len(cells)) // unit
-        begin = np.cumsum(lengths) - lengths
-        head = 4 // unit
-        slots = np.array([int.from_bytes(c[:4], "little") for c in cells], np.int64)
-        self.counts, self.starts = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
-        self.counts[slots], self.starts[slots], self.flat = lengths - head, begin + head, flat
-        ids = flat.tolist()
-        self.written = [",".join(map(str, ids[a : a + n])) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
+    def __init__(self, cells: list[dict]):
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cell in cells:  # in the order of parts
+            numbers = unpack(cell["ids"]).astype(np.int64)
+            counts.append(numbers[: cell["n"]])
+            flat.append(numbers[cell["n"] :])
+        self.counts, self.flat = np.concatenate(counts), np.concatenate(flat)
+        self.starts = np.cumsum(self.counts) - self.counts
+        ids = list(map(str, self.flat.tolist()))
+        self.written = [",".join(ids[a : a + n]) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         size = self.counts[places]
@@ -208,7 +232,7 @@ def _reassemble(with_ids: bool, path: str, pattern: str):
         for batch in batches:
             for k in range(batch.num_rows):
                 ids_bytes, nulls, sizes, packed, cells = (batch.column(c)[k].as_py() for c in ("doc_ids", "null_ids", "sizes", "places", "cells"))
-                words = _Dictionary(cells or [], own)
+                words = _Dictionary(cells or [])
                 places, rows, arrays, start = unpack(packed).astype(np.int64), [], [], 0
                 for doc_id, null, size in zip(np.frombuffer(ids_bytes, np.int64).tolist(), nulls, unpack(sizes).tolist(), strict=True):
                     at = places[start : start + size]
@@ -231,9 +255,10 @@ def encode_documents(frame: DataFrame, path: str | None = None, pattern: str = p
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each document."""
     path = path or public_tokenizers.path(VOCABULARY)
     blocks = _bucketed(split_blocks(frame, pattern))
-    slots = blocks.select("block", F.posexplode("words").alias("slot", "word"))
-    cells = encode_words(slots, path, pattern).groupBy("block").agg(F.collect_list("cell").alias("cells"))
-    both = blocks.drop("words").join(cells, "block", "left")
+    parts = blocks.select("block", F.posexplode("parts").alias("part", "words"))
+    encoded = encode_parts(parts, path, pattern).repartition(BUCKETS, "block")  # where the bucketed blocks are
+    cells = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n", "ids"))).alias("cells"))
+    both = blocks.drop("parts").join(cells, "block", "left")
     return both.mapInArrow(_reassemble(with_ids, path, pattern), ENCODED if with_ids else ENCODED.rpartition(",")[0])
 
 
