@@ -19,6 +19,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 import operator
 import zlib
 from collections import Counter
@@ -35,31 +36,48 @@ BUCKETS, DIM, NGRAMS = 1 << 18, 16, (2, 3, 4, 5)
 #: The most labelled documents that training takes.
 TRAIN_ROWS, EPOCHS, RATE, SEED = 4096, 6, 0.6, 7
 WORDS_HELD = 200_000
-REPEATED = b"\x00repeat"
+#: The bucket of a repeated word, and how many units it weighs.
+REPEATED, REPEAT_UNITS = 0, 8
+BASE = np.uint64(0x100000001B3)
+CHUNK = 256
 PASS = 0.7
 
 
-def units(word: bytes) -> list[int]:
-    """The buckets of a word and of its character n-grams."""
-    held = b"<" + word + b">"
-    out = [zlib.crc32(held) % BUCKETS]
+def word_units(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of every unit: of each word and of its character n-grams."""
+    held = [b"<" + word + b">" for word in words]
+    data = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64) + np.uint64(1)
+    lengths = np.fromiter(map(len, held), np.int64, len(held))
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(held)), lengths)
+    place = np.arange(len(data)) - starts[owner]
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), BASE))  # wraps around
+    which, hashes = [np.arange(len(held))], [np.add.reduceat(data * powers[place], starts) if len(held) else np.zeros(0, np.uint64)]
     for n in NGRAMS:
-        out += [zlib.crc32(held[i : i + n], n) % BUCKETS for i in range(len(held) - n + 1)]
-    return out
+        size = len(data) - n + 1
+        if size <= 0:
+            continue
+        rolled = np.full(size, np.uint64(n))
+        for j in range(n):
+            rolled = rolled * BASE + data[j : j + size]
+        inside = owner[:size] == owner[n - 1 :]
+        which.append(owner[:size][inside])
+        hashes.append(rolled[inside])
+    mixed = np.concatenate(hashes) * np.uint64(0x9E3779B97F4A7C15)
+    return np.concatenate(which), ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def document_units(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and the share of its units that fall to each."""
     words = (text or "").encode().split()
-    counts: Counter = Counter()
-    for word, n in Counter(words).items():
-        for unit in units(word):
-            counts[unit] += n
+    counted = Counter(words)
+    which, buckets = word_units(list(counted))
+    weights = np.fromiter(counted.values(), float, len(counted))[which]
     repeats = sum(map(operator.eq, words, words[1:]))
     if repeats:
-        counts[zlib.crc32(REPEATED) % BUCKETS] += repeats * 8
-    ids = np.fromiter(counts, np.int64, len(counts))
-    shares = np.fromiter(counts.values(), float, len(counts))
+        buckets, weights = np.append(buckets, REPEATED), np.append(weights, REPEAT_UNITS * repeats)
+    ids, inverse = np.unique(buckets, return_inverse=True)
+    shares = np.bincount(inverse, weights, len(ids))
     return ids, shares / max(shares.sum(), 1)
 
 
@@ -110,29 +128,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, label
     return [(text, label) for _, text, label in got[:rows]]
 
 
-class _Sums(dict):
-    """word -> (sum of its units' logits, number of its units)."""
+class Scorer:
+    """Scores texts; remembers (sum of logits, number of units) of the words it has met."""
 
     def __init__(self, logits: np.ndarray):
-        super().__init__()
-        self.logits = logits
-
-    def __missing__(self, word: bytes) -> complex:
-        own = units(word)
-        value = complex(float(self.logits[own].sum()), len(own))  # both sums in one number
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-def score_text(text: str | None, sums: _Sums) -> float:
-    words = (text or "").encode().split()
-    if len(sums) > WORDS_HELD:
-        sums.clear()
-    total = sum(map(sums.__getitem__, words), 0j)
-    repeats = 8 * sum(map(operator.eq, words, words[1:]))
-    z, n = total.real + repeats * sums.logits[zlib.crc32(REPEATED) % BUCKETS], total.imag + repeats
-    return float(1 / (1 + np.exp(-np.clip(z / n, -50, 50)))) if n else 0.5
+        self.logits, self.sums = logits, {}
+
+    def scores(self, texts_: list[str | None]) -> list[float]:
+        split = [(text or "").encode().split() for text in texts_]
+        if len(self.sums) > WORDS_HELD:
+            self.sums.clear()
+        new = list({word for words in split for word in words}.difference(self.sums))
+        which, buckets = word_units(new)
+        sums, counts = np.bincount(which, self.logits[buckets], len(new)), np.bincount(which, minlength=len(new))
+        self.sums.update(zip(new, (sums + 1j * counts).tolist(), strict=True))  # both sums in one number
+        out = []
+        for words in split:
+            total = sum(map(self.sums.__getitem__, words), 0j)
+            repeats = REPEAT_UNITS * sum(map(operator.eq, words, words[1:]))
+            z, n = total.real + repeats * self.logits[REPEATED], total.imag + repeats
+            out.append(float(1 / (1 + math.exp(-max(-50.0, min(50.0, z / n))))) if n else 0.5)
+        return out
 
 
 def score_documents(frame: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,11 +156,11 @@ def score_documents(frame: DataFrame, model: Model, id_col: str = "doc_id", text
     shared = frame.sparkSession.sparkContext.broadcast(model.logits())  # BUCKETS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(shared.value)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                ids, own = batch.slice(start, 1024).columns
-                yield pa.RecordBatch.from_arrays([ids, pa.array([score_text(t.as_py(), sums) for t in own], pa.float64())], ["doc_id", "score"])
+            for start in range(0, batch.num_rows, CHUNK):
+                ids, own = batch.slice(start, CHUNK).columns
+                yield pa.RecordBatch.from_arrays([ids, pa.array(scorer.scores(own.to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return texts(frame, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -155,9 +171,11 @@ def keep_quality(frame: DataFrame, model: Model, threshold: float, text_col: str
     at = frame.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(shared.value)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([score_text(t.as_py(), sums) >= threshold for t in batch.column(at)], pa.bool_()))
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                yield part.filter(pa.array([score >= threshold for score in scorer.scores(part.column(at).to_pylist())], pa.bool_()))
 
     return frame.mapInArrow(run, frame.schema)
 
