@@ -103,10 +103,10 @@ def selectivity(spark, sf_dir):
     return out.select("sample", "n_precursors", "n_phospho", F.round(100.0 * F.col("n_phospho") / F.col("n_precursors"), 6).alias("pct"))
 
 
-@query(f"""WITH {MEASURE} SELECT feature, count(intensity) AS n_samples_detected, round(avg(CASE WHEN intensity IS NOT NULL THEN loc_prob END), 6) AS mean_loc_prob, round(max(CASE WHEN intensity IS NOT NULL THEN loc_prob END), 6) AS max_loc_prob,
-  round(min(CASE WHEN intensity IS NOT NULL THEN loc_prob END), 6) AS min_loc_prob, count(*) FILTER (WHERE intensity IS NOT NULL AND loc_prob >= 0.75) AS n_class1_samples FROM measure GROUP BY 1""")
+@query(f"""WITH {MEASURE} SELECT feature, count(intensity) AS n_samples_detected, round(avg(CASE WHEN intensity IS NOT NULL THEN loc_prob END), 9) AS mean_loc_prob, round(max(CASE WHEN intensity IS NOT NULL THEN loc_prob END), 9) AS max_loc_prob,
+  round(min(CASE WHEN intensity IS NOT NULL THEN loc_prob END), 9) AS min_loc_prob, count(*) FILTER (WHERE intensity IS NOT NULL AND loc_prob >= 0.75) AS n_class1_samples FROM measure GROUP BY 1""")
 def site_qc(spark, sf_dir):
-    return collapse.site_qc(B.measure(spark, sf_dir)).select("feature", "n_samples_detected", *r6("mean_loc_prob", "max_loc_prob", "min_loc_prob"), "n_class1_samples")
+    return collapse.site_qc(B.measure(spark, sf_dir)).select("feature", "n_samples_detected", *(F.round(c, 9).alias(c) for c in ("mean_loc_prob", "max_loc_prob", "min_loc_prob")), "n_class1_samples")
 
 
 @query("""WITH p AS (SELECT '_AS[Phospho (STY)]C[Carbamidomethyl (C)]' || repeat('G', (p_size % 4)::INT) || (CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'T[Phospho (STY)]' END) || 'K_.' || (p_size % 3 + 1) AS s, p_partkey, p_size FROM part),
@@ -417,11 +417,11 @@ def hamming_join(spark, sf_dir):
     return sequences.fuzzy_join(asked, index).select("query", F.col("tw").alias("hit"), "mismatches")
 
 
-@query("""WITH m AS (SELECT o_orderkey AS query, (o_orderkey % 3)::INT AS mismatches, o_totalprice::BIGINT % 7 = 0 AS is_decoy FROM orders),
+@query("""WITH m AS (SELECT o_orderkey AS query, (o_orderkey % 3)::INT AS mismatches, floor(o_totalprice)::BIGINT % 7 = 0 AS is_decoy FROM orders),
 f AS (SELECT *, least(1.0, sum(is_decoy::INT) OVER w / greatest(sum((NOT is_decoy)::INT) OVER w, 1)) AS f FROM m WINDOW w AS (ORDER BY mismatches, query ROWS UNBOUNDED PRECEDING))
 SELECT query, round(min(f) OVER (ORDER BY mismatches DESC, query DESC ROWS UNBOUNDED PRECEDING), 6) AS q_value FROM f""")
 def qvalue_decoy(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 3).cast("int").alias("mismatches"), (F.round("o_totalprice").cast("long") % 7 == 0).alias("is_decoy"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 3).cast("int").alias("mismatches"), (F.floor("o_totalprice") % 7 == 0).alias("is_decoy"))
     return sequences.target_decoy_q(own).select("query", *r6("q_value"))
 
 
