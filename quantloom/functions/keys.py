@@ -91,7 +91,11 @@ def is_contaminant_tagged(group: Column) -> Column:
 def leading_protein(group: Column) -> Column:
     """The first member; of tagged contaminants the first, in the order of prefixes."""
     members = _members(group)
-    tagged = [F.get(F.filter(members, lambda p, prefix=prefix: p.startswith(prefix)), F.lit(0)) for prefix in CONTAMINANT_PREFIXES]
+
+    def first_with(prefix: str) -> Column:
+        return F.get(F.filter(members, lambda p: p.startswith(prefix)), F.lit(0))
+
+    tagged = map(first_with, CONTAMINANT_PREFIXES)
     return F.coalesce(*tagged, F.get(members, F.lit(0)), F.lit(""))
 
 
