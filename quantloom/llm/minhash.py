@@ -7,14 +7,17 @@ threshold 0.8 shares no band with a probability of 5e-8.
 
 Links decide components, so links inside a component need not all be looked at:
 1. Equal shingle sets are one class (a hot group of copies is one row from here on).
-2. In each bucket (band value) every class is compared with the bucket's smallest one: as many pairs as
-   members. Verified links give components.
+2. In each bucket (band value) every class is compared with the bucket's centre, the class that shares most
+   buckets with others: as many pairs as members, and an original is the centre of its copies even where
+   these are too far from each other. Verified links give components.
 3. What is left are buckets that still hold several components. Up to SMALL members, all pairs of
    different components are compared. Larger ones go through an exact prefix filter: shingles are ordered
    by a sketch of their frequency (rare ones first), and sets that reach the threshold must share one of
    their first n - ceil(t n) + 1, so only classes that share such a rare shingle are compared. No pair
    that reaches the threshold is lost by it; there is no cap on buckets or candidates.
-Every pair is confirmed on the full sets of its words, not on hashes.
+Before texts are fetched, pairs must agree in enough 4-bit remains of their K coordinates (below 0.6 of
+them, a pair at the threshold is met with a probability of 3e-8). Every pair is confirmed on the full
+sets of its words, not on hashes.
 
 Tables between the steps are written to the shared folder. The texts of classes that are in some pair
 are fetched by a join whose small side is broadcast only after a count.
@@ -113,16 +116,39 @@ class Circulant:
             least = np.minimum(least, self.windows[at[start : start + 4096]].min(axis=0))
         return least
 
-    def band_values(self, shingles: np.ndarray) -> np.ndarray:
-        own = self.signature(shingles).reshape(self.bands, self.rows).astype(np.uint64)
+    def band_values(self, signature: np.ndarray) -> np.ndarray:
+        own = signature.reshape(self.bands, self.rows).astype(np.uint64)
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for i in range(self.rows):
             out = mix(out * _M1 + own[:, i])
         return out.view(np.int64)
 
+    @staticmethod
+    def remains(signature: np.ndarray) -> np.ndarray:
+        """The last four bits of each coordinate, sixteen in a number."""
+        padded = np.zeros(-(-len(signature) // 16) * 16, np.uint64)
+        padded[: len(signature)] = signature & 15
+        return (padded.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
-SIGNED = "doc_id long, th long, n long, set_key binary, bands array<long>"
-_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+def agreeing(a: Column, b: Column, bands: int = BANDS, rows: int = BAND_ROWS) -> Column:
+    """How many coordinates may be equal, from their remains."""
+    differ = F.lit(0)
+    for i in range(-(-bands * rows // 16)):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differ = differ + F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(bands * rows) - differ
+
+
+def least_agreeing(percent: int, k: int) -> int:
+    """5.5 standard deviations below what a pair at the threshold agrees in."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(p * k - 5.5 * (p * (1 - p) * k) ** 0.5)
+
+
+SIGNED = "doc_id long, th long, n long, set_key binary, bands array<long>, remains array<long>"
+_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("remains", pa.list_(pa.int64()))])
 
 
 def _keyed(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,19 +161,20 @@ def signatures(frame: DataFrame, k: int, bands: int = BANDS, rows: int = BAND_RO
     """frame: doc_id, th, text. Set size, a digest of the set and the band values of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, circulant = WordHashes(), Circulant(bands, rows)
+        hashes, circulant, none = WordHashes(), Circulant(bands, rows), np.zeros(0, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 ids, ths, own = batch.slice(start, 1024).columns
-                sizes, keys, values = [], [], []
+                sizes, keys, values, remains = [], [], [], []
                 for text in own:
                     shingles = hashes.shingles(text.as_py(), k)
                     sizes.append(len(shingles))
                     keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                    values.append(circulant.band_values(shingles) if len(shingles) else np.zeros(0, np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
-                yield pa.RecordBatch.from_arrays([ids, ths, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), listed], schema=_SIGNED_ARROW)
+                    signature = circulant.signature(shingles) if len(shingles) else None
+                    values.append(none if signature is None else circulant.band_values(signature))
+                    remains.append(none if signature is None else circulant.remains(signature))
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (values, remains)]
+                yield pa.RecordBatch.from_arrays([ids, ths, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=_SIGNED_ARROW)
 
     return frame.mapInArrow(run, SIGNED)
 
@@ -204,9 +231,9 @@ def _near_sizes(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def _prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """members: doc_id, th, n, component. Pairs of different components that share a rare enough shingle."""
-    texts = scratch(docs.join(sized_broadcast(members), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "n", "component", "text"), "mh-large")
+def _prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    """members: doc_id, th, n, component, remains. Pairs of different components that share a rare enough shingle."""
+    texts = scratch(docs.join(sized_broadcast(members), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "n", "component", "remains", "text"), "mh-large")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
@@ -225,23 +252,25 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
         hashes = WordHashes()
         for batch in batches:
             for i in range(batch.num_rows):
-                own = hashes.shingles(batch.column(4)[i].as_py(), k)
+                own = hashes.shingles(batch.column(5)[i].as_py(), k)
                 order = np.lexsort((own, shared.value[(own % np.uint64(SKETCH)).astype(np.int64)]))
                 first = own[order[: len(own) - -(-percent * len(own) // 100) + 1]].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(first), *(pa.array([c[i].as_py()] * len(first), pa.int64()) for c in batch.columns[:4])], ["s", "doc_id", "th", "n", "component"])
 
     rows = scratch(texts.mapInArrow(prefix, "s long, doc_id long, th long, n long, component long"), "mh-prefix")
-    drop_scratch(texts.sparkSession, texts)
-    return _pairs_of(rows, "s", percent)
+    several = rows.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    rows = rows.join(several, "s").join(texts.select("doc_id", "th", "remains"), ["doc_id", "th"])
+    return _pairs_of(rows, "s", percent, least)
 
 
-def _pairs_of(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs of different components under one key; rows: key, doc_id, th, n, component."""
+def _pairs_of(rows: DataFrame, key: str, percent: int, least: int) -> DataFrame:
+    """Pairs of different components under one key; rows: key, doc_id, th, n, component, remains."""
     several = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(key)
     own = rows.join(several, key)
-    one = own.select(key, F.col("doc_id").alias("a"), F.col("th").alias("ath"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    two = own.select(key, F.col("doc_id").alias("b"), F.col("th").alias("bth"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    met = one.join(two, key).where((F.col("ac") < F.col("bc")) & _near_sizes(F.col("an"), F.col("bn"), percent))
+    one = own.select(key, F.col("doc_id").alias("a"), F.col("th").alias("ath"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("remains").alias("ar"))
+    two = own.select(key, F.col("doc_id").alias("b"), F.col("th").alias("bth"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("remains").alias("br"))
+    likely = agreeing(F.col("ar"), F.col("br")) >= least
+    met = one.join(two, key).where((F.col("ac") < F.col("bc")) & _near_sizes(F.col("an"), F.col("bn"), percent) & likely)
     return met.select("a", "ath", "b", "bth").distinct()
 
 
@@ -251,15 +280,22 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
     docs = _keyed(frame, id_col, text_col)
     signed = scratch(signatures(docs, shingle, bands, rows), "mh-signed")
     usable = signed.where("set_key is not null and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = scratch(classes.select("set_key", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), "n", "bands"), "mh-classes")
-    entries = classes.select("doc_id", "th", "n", F.explode("bands").alias("bucket"))
-
-    # every class beside the smallest one of each of its buckets
-    me = F.struct("doc_id", "th", "n")
-    centres = entries.groupBy("bucket").agg(F.min(me).alias("c"), F.count("*").alias("m")).where("m > 1")
+    first = (F.first(c).alias(c) for c in ("n", "bands", "remains"))
+    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), *first)
+    classes = scratch(classes.select("set_key", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), "n", "bands", "remains"), "mh-classes")
+    least = least_agreeing(percent, bands * rows)
+
+    # buckets of several classes; every class beside the centre of each of its buckets
+    entries = classes.select("doc_id", "th", F.explode("bands").alias("bucket"))
+    counts = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    entries = scratch(entries.join(counts, "bucket"), "mh-entries")
+    central = entries.groupBy("doc_id", "th").agg(F.sum("m").alias("shared"))
+    entries = scratch(entries.join(classes.select("doc_id", "th", "n", "remains").join(central, ["doc_id", "th"]), ["doc_id", "th"]), "mh-shared")
+    me = F.struct(-F.col("shared"), "doc_id", "th", "n", "remains")
+    centres = entries.groupBy("bucket").agg(F.min(me).alias("c"))
     stars = entries.join(centres, "bucket").where((F.col("c.doc_id") != F.col("doc_id")) | (F.col("c.th") != F.col("th")))
-    stars = stars.where(_near_sizes(F.col("n"), F.col("c.n"), percent)).select(F.col("c.doc_id").alias("a"), F.col("c.th").alias("ath"), F.col("doc_id").alias("b"), F.col("th").alias("bth")).distinct()
+    likely = _near_sizes(F.col("n"), F.col("c.n"), percent) & (agreeing(F.col("remains"), F.col("c.remains"), bands, rows) >= least)
+    stars = stars.where(likely).select(F.col("c.doc_id").alias("a"), F.col("c.th").alias("ath"), F.col("doc_id").alias("b"), F.col("th").alias("bth")).distinct()
     stars = scratch(stars, "mh-stars")
     links = verify(stars, docs, shingle, percent)
     # rows of a repeated doc_id share a component
@@ -270,17 +306,17 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
 
     # buckets that still hold several components
     labeled = entries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labeled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    held = scratch(labeled.join(mixed.select("bucket", "m"), "bucket"), "mh-mixed")
-    pairs = _pairs_of(held.where(F.col("m") <= SMALL).select("bucket", "doc_id", "th", "n", "component"), "bucket", percent)
-    large = scratch(held.where(F.col("m") > SMALL).select("doc_id", "th", "n", "component").distinct(), "mh-large-members")
+    mixed = labeled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    held = scratch(labeled.join(mixed.select("bucket"), "bucket").select("bucket", "m", "doc_id", "th", "n", "component", "remains"), "mh-mixed")
+    pairs = _pairs_of(held.where(F.col("m") <= SMALL), "bucket", percent, least)
+    large = scratch(held.where(F.col("m") > SMALL).select("doc_id", "th", "n", "component", "remains").distinct(), "mh-large-members")
     if large.limit(1).count():
-        pairs = pairs.unionAll(_prefix_pairs(large, docs, shingle, percent)).distinct()
+        pairs = pairs.unionAll(_prefix_pairs(large, docs, shingle, percent, least)).distinct()
     done = stars.select("a", "ath", "b", "bth").unionAll(stars.select("b", "bth", "a", "ath"))
     rest = scratch(pairs.join(done, ["a", "ath", "b", "bth"], "left_anti"), "mh-rest")
     more = verify(rest, docs, shingle, percent)
     found = components(edges.unionAll(more.select("a", "b")).unionAll(same.select("a", "b")))
-    drop_scratch(spark, held, large, rest, stars, labels)
+    drop_scratch(spark, held, large, rest, stars, labels, entries)
     component = F.coalesce("component", "doc_id")
     return signed.join(found.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select(
         "doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")

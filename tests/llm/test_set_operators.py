@@ -82,10 +82,14 @@ def test_near_duplicate_edge_rows(spark):
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_signature_is_circulant():
+def test_signature_is_circulant(spark):
     c = minhash.Circulant(4, 2, 8)
     pi = c.windows[:, 0]
     x = np.array([3, 77, 200], np.uint64)
+    twin = c.signature(np.array([3, 77, 201], np.uint64))
+    frame = spark.createDataFrame([(c.remains(c.signature(x)).tolist(), c.remains(twin).tolist())], "a array<long>, b array<long>")
+    same = int((c.signature(x) % 16 == twin % 16).sum())
+    assert frame.select(minhash.agreeing(minhash.F.col("a"), minhash.F.col("b"), 4, 2)).first()[0] == same
     assert c.signature(x).tolist() == [min(int(pi[(c.sigma[int(v)] + k) % 256]) for v in x) for k in range(8)]
 
 
