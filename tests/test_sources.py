@@ -70,3 +70,17 @@ def test_fasta_and_gmt(spark, tmp_path):
     gmt = tmp_path / "lib.gmt"
     gmt.write_text("# c\nset\tdesc\tA\tB\nshort\tx\n")
     assert sorted((r["library"], r["set_name"], r["member"]) for r in fasta.load_gmt(spark, str(gmt)).collect()) == [("lib", "set", "A"), ("lib", "set", "B")]
+
+
+def test_package_and_dashboard(spark, tmp_path):
+    from quantloom.sources import package
+
+    wide = spark.createDataFrame([("P1|G|S3|M1", 1.0, float("nan")), ("P2|H|T4|M2", 2.0, 3.0)], "key string, a double, b double")
+    meta = spark.createDataFrame([("P1|G|S3|M1", "_AAK*S*P____")], "key string, kinase_sequence string")
+    out = package.package_matrix(wide, "key", meta=meta)
+    got = {r["feature"]: (r["gene"], r["n_samples_detected"], r["is_proline_directed"]) for r in out.features.collect()}
+    assert got == {"P1|G|S3|M1": ("G", 1, True), "P2|H|T4|M2": ("H", 2, None)}
+    with pytest.raises(ValueError, match="numeric"):
+        package.package_matrix(wide.withColumn("c", reports.F.lit("x")), "key")
+    package.dashboard(spark, out, str(tmp_path / "d"))
+    assert "Residues" in spark.read.text(str(tmp_path / "d"), wholetext=True).first()[0]
