@@ -1 +1 @@
-
+"""Operators on the fact table and on results."""
