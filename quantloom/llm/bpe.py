@@ -41,7 +41,7 @@ from quantloom.llm.common import own_scratch, read_table, shared_dir, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block of documents ends at this many characters of text or documents.
-BLOCK_CHARS, BLOCK_DOCS = 16 << 20, 16384
+BLOCK_CHARS, BLOCK_DOCS = 8 << 20, 8192
 #: Files that blocks are bucketed into, hash classes of words, words that a worker remembers.
 BUCKETS, PARTS, WORDS_HELD = 64, 256, 1_000_000
 
