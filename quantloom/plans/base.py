@@ -6,6 +6,7 @@ feature: part; sample: supplier; precursor: part x flag x status; quantity: pric
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.operators import collapse
@@ -45,7 +46,10 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feature (brand and half of the sizes), sample (nation of the supplier), intensity: a matrix without gaps."""
     line, part, supplier = (table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier"))
     own = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
-    return own.groupBy(F.concat("p_brand", F.lit("/"), (F.col("p_size") % 2).cast("string")).alias("feature"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("sample")).agg(F.log2(F.sum("l_extendedprice")).alias("intensity"))
+    feature, sample = F.concat("p_brand", F.lit("/"), (F.col("p_size") % 2).cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    sums = own.groupBy(feature.alias("feature"), sample.alias("sample")).agg(F.log2(F.sum("l_extendedprice")).alias("intensity"))
+    n = supplier.select("s_nationkey").distinct().count()  # 25 at most
+    return sums.withColumn("_n", F.count("*").over(W.partitionBy("feature"))).where(F.col("_n") == n).drop("_n")
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +79,8 @@ FEATURES = """
 features AS (SELECT p_partkey AS feature, CASE p_size % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'T' ELSE 'Y' END AS residue, (p_size % 5 + 1)::INT AS multiplicity, p_brand AS protein, p_type AS gene, p_size::INT AS site_position FROM part)"""
 DENSE = """
 dense AS (SELECT p_brand || '/' || (p_size % 2) AS feature, 'n' || s_nationkey AS sample, log2(sum(l_extendedprice)) AS intensity
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2
+  QUALIFY count(*) OVER (PARTITION BY p_brand || '/' || (p_size % 2)) = (SELECT count(DISTINCT s_nationkey) FROM supplier))"""
 STATS = """
 stats AS (SELECT feature, avg(CASE WHEN condition = 'c1' THEN intensity END) - avg(CASE WHEN condition = 'c0' THEN intensity END) AS stat
   FROM measure JOIN samples USING (sample) WHERE intensity IS NOT NULL GROUP BY 1 HAVING stat IS NOT NULL)"""
