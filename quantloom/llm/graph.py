@@ -28,12 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # edges that lead to a smaller node and are the smallest of their own stay
-        large = large.unionAll(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = scratch(large.unionAll(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "cc-large")  # read twice
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         after = scratch(small, "cc-edges")
-        drop_scratch(spark, now)
+        drop_scratch(spark, now, large)
         now, before, state = after, state, _state(after)
         if state == before:
             break

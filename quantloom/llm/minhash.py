@@ -315,7 +315,8 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
     done = stars.select("a", "ath", "b", "bth").unionAll(stars.select("b", "bth", "a", "ath"))
     rest = scratch(pairs.join(done, ["a", "ath", "b", "bth"], "left_anti"), "mh-rest")
     more = verify(rest, docs, shingle, percent)
-    found = components(edges.unionAll(more.select("a", "b")).unionAll(same.select("a", "b")))
+    stars_so_far = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # not the links again: components are stars by now
+    found = components(stars_so_far.unionAll(more.select("a", "b")).unionAll(same.select("a", "b")))
     drop_scratch(spark, held, large, rest, stars, labels, entries)
     component = F.coalesce("component", "doc_id")
     return signed.join(found.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select(
