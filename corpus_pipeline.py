@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs; documents of which nothing is left go."""
-    return lines.without_repeated_lines(docs)
+    """Deletes later copies of repeated line runs, however short; documents of which nothing is left go."""
+    return lines.without_repeated_lines(docs, min_words=lines.ANY_RUN)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

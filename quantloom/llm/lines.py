@@ -33,6 +33,8 @@ from quantloom.llm.common import drop_scratch, read_table, scratch
 
 #: The fewest words of a repeated run.
 MIN_WORDS = 8
+#: Every repeated run: each of its lines is itself repeated, so windows of one line cover all runs.
+ANY_RUN = 1
 _NO_ID = -(1 << 63)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -121,9 +123,9 @@ def without_repeated_lines(frame: DataFrame, id_col: str = "doc_id", text_col: s
     return kept.drop("_ql_deleted")
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _digest(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"))
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, min_words=min_words)
     return out.select(
         "doc_id",
         F.greatest("n_lines", F.lit(0)).alias("n_lines"),
@@ -132,6 +134,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(spark, sf_dir, MIN_WORDS)
+
+
+def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated run, however short."""
+    return _digest(spark, sf_dir, ANY_RUN)
+
+
 _WINDOWS = ", ".join(
     f"CASE WHEN sum(words) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) >= {MIN_WORDS} AND lead(seq, {n - 1}) OVER w IS NOT NULL"
     + (f" AND (sum(words) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 2} FOLLOWING) < {MIN_WORDS} OR sum(words) OVER (w ROWS BETWEEN 1 FOLLOWING AND {n - 1} FOLLOWING) < {MIN_WORDS})" if n > 1 else "")
@@ -150,6 +161,13 @@ g AS (SELECT s.doc_id, s.line FROM s JOIN d USING (doc_id, seq)),
 k AS (SELECT l.doc_id, string_agg(CASE WHEN g.line IS NULL THEN l.x END, chr(10) ORDER BY l.line) AS text, count(g.line) AS n_deleted
   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
 SELECT o.doc_id, (SELECT count(*) FROM s WHERE s.doc_id = o.doc_id) AS n_lines, coalesce(k.n_deleted, 0) AS n_deleted, sha256(coalesce(k.text, '')) AS text_sha256
-FROM documents o LEFT JOIN k ON o.doc_id = k.doc_id"""
+FROM documents o LEFT JOIN k ON o.doc_id = k.doc_id""",
+    "op2_line_dedup_whole": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+s AS (SELECT doc_id, line, row_number() OVER (PARTITION BY x ORDER BY doc_id, line) > 1 AS later FROM l WHERE regexp_matches(x, '{WORD}')),
+k AS (SELECT l.doc_id, string_agg(CASE WHEN s.later IS NOT TRUE THEN l.x END, chr(10) ORDER BY l.line) AS text, count(*) FILTER (s.later) AS n_deleted, count(s.line) AS n_lines
+  FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.line = s.line GROUP BY l.doc_id)
+SELECT o.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS n_deleted, sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents o LEFT JOIN k ON o.doc_id = k.doc_id""",
 }
-QUERIES = {"op2_line_dedup": op2_line_dedup}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op2_line_dedup_whole": op2_line_dedup_whole}

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from quantloom.llm import bpe, chat, licenses, lines, quality
 
 DOCS = "doc_id long, text string, block string, label int"
@@ -112,6 +113,19 @@ def test_line_dedup_edge_cases(spark):
     assert lines.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_short_repeated_lines_are_deleted(spark, tmp_path):
+    """Runs of one short line, alone, beside each other and twice in a document."""
+    docs = [(1, "yes no\n\nown words of one"), (2, "own words of two\nyes no\nx"), (3, "yes no\nx\nyes no"), (4, "x\nlast"), (5, ""), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in lines.op2_line_dedup_whole(spark, str(tmp_path)).collect()}
+    left = {1: docs[0][1], 2: "own words of two\nx", 3: "", 4: "last", 5: "", 6: ""}
+    assert {i: r["text_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()}
+    assert {i: r["n_deleted"] for i, r in got.items()} == {1: 0, 2: 1, 3: 3, 4: 1, 5: 0, 6: 0}
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    staged = corpus_pipeline.line_stage(spark, frame, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in staged} == {1: docs[0][1], 2: "own words of two\nx", 4: "last", 5: "", 6: None}
+
+
 def test_classifier_learns_and_scores(spark):
     good, bad = "the quiet river ran over old stones", "BUY!!! NOW!!! $$$ CHEAP###"
     docs = [(i, (good if i % 2 else bad) + f" {i}", "x", 1) for i in range(200)]
