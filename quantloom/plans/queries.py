@@ -417,6 +417,17 @@ def hamming_join(spark, sf_dir):
     return sequences.fuzzy_join(asked, index).select("query", F.col("tw").alias("hit"), "mismatches")
 
 
+@query(f"""WITH {_WINDOWS}, u AS (SELECT DISTINCT w FROM w)
+SELECT q.w AS query, u.w AS hit, (SELECT count(*) FROM range(1, 16) t(i) WHERE substr(q.w, i, 1) <> substr(u.w, i, 1))::INT AS mismatches FROM u q JOIN u ON (substr(q.w, 8, 1) = 'Y') = (substr(u.w, 8, 1) = 'Y')
+  AND (SELECT count(*) FROM range(1, 16) t(i) WHERE substr(q.w, i, 1) <> substr(u.w, i, 1)) <= 2""")
+def hamming_join_whole(spark, sf_dir):
+    """The windows of all proteins as queries; hamming_join and its SQL ask those of every fiftieth."""
+    own = sequences.phospho_windows(_proteins(spark, sf_dir))
+    index = own.groupBy("window").agg(*(F.min(c).alias(c) for c in ("uniprot", "gene", "position", "residue", "reviewed")))
+    asked = index.select(F.col("window").alias("query"), "window")
+    return sequences.fuzzy_join(asked, index).select("query", F.col("tw").alias("hit"), "mismatches")
+
+
 @query("""WITH m AS (SELECT o_orderkey AS query, (o_orderkey % 3)::INT AS mismatches, floor(o_totalprice)::BIGINT % 7 = 0 AS is_decoy FROM orders),
 f AS (SELECT *, least(1.0, sum(is_decoy::INT) OVER w / greatest(sum((NOT is_decoy)::INT) OVER w, 1)) AS f FROM m WINDOW w AS (ORDER BY mismatches, query ROWS UNBOUNDED PRECEDING))
 SELECT query, round(min(f) OVER (ORDER BY mismatches DESC, query DESC ROWS UNBOUNDED PRECEDING), 6) AS q_value FROM f""")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import collapse, dimred, dose, enrichment, impute, masks, proteome, qc, sequences, signalome, stats
+from quantloom.plans import queries
 from quantloom.schema import ASSAY_PROB, GENES, LOC_PROBS, POSITION, PRECURSOR, PROTEINS, QUANT, SAMPLE
 
 
@@ -229,3 +230,18 @@ def test_dose_response(spark):
     r = dose.fit_dose_response(spark.createDataFrame(rows, "feature string, sample string, intensity double"), samples).first()
     assert r["ec50"] == pytest.approx(30, rel=0.05) and r["r2"] > 0.99
     assert dose.recommend_pipeline(24, [12, 12], 0.2).test == "limma" and dose.recommend_pipeline(24, [3, 3], 0.2).min_valid_n == 3
+
+
+PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def test_hamming_join_whole_equals_brute_force(spark, tmp_path):
+    """Accessions of every remainder are asked."""
+    names = ["steel toy ring", "steel tay ring", "steal tay rung", "mossy yarn", "messy yarn", "t", "olive stone"]
+    spark.createDataFrame([(i + 1, n, "b", "TYPE", 1, 1.0) for i, n in enumerate(names)], PARTS).write.parquet(f"{tmp_path}/part.parquet")
+    texts = ["_" * 7 + (n + "TYPE").replace(" ", "").upper() + "_" * 7 for n in names]
+    windows = {t[i - 7 : i + 8] for t in texts for i in range(7, len(t) - 7) if t[i] in "STY"}
+    differ = {(a, b): sum(x != y for x, y in zip(a, b, strict=True)) for a in windows for b in windows if (a[7] == "Y") == (b[7] == "Y")}
+    brute = sorted((a, b, d) for (a, b), d in differ.items() if d <= 2)
+    assert any(d for _, _, d in brute)
+    assert sorted(map(tuple, queries.hamming_join_whole(spark, str(tmp_path)).collect())) == brute
