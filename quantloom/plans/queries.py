@@ -368,8 +368,17 @@ def kinase_network(spark, sf_dir):
     return signalome.kinase_network(_scores(spark, sf_dir), 0.2)[2].select("source", "target", "n", *r6("r"))
 
 
-def _scores(spark, sf_dir, k: int = 12):
-    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode(F.slice("embedding", 1, k)).alias("k", "score"))
+_ALL_SCORES = "s AS (SELECT vec_id AS feature, 'k' || (unnest(range(len(embedding)))) AS kinase, unnest(embedding)::DOUBLE AS score FROM embeddings)"
+
+
+@query(f"WITH {_ALL_SCORES} SELECT a.kinase AS source, b.kinase AS target, count(*) AS n, round(corr(a.score, b.score), 6) AS r FROM s a JOIN s b ON a.feature = b.feature AND a.kinase < b.kinase GROUP BY 1, 2")
+def kinase_network_whole(spark, sf_dir):
+    return signalome.kinase_network(_scores(spark, sf_dir, None), 0.2)[2].select("source", "target", "n", *r6("r"))
+
+
+def _scores(spark, sf_dir, k: int | None = 12):
+    """The first k components of every vector, as the SQL has them; all of them if k is None."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode("embedding" if k is None else F.slice("embedding", 1, k)).alias("k", "score"))
     return own.select("feature", F.concat(F.lit("k"), F.col("k").cast("string")).alias("kinase"), F.col("score").cast("double").alias("score"))
 
 
@@ -379,11 +388,25 @@ def topk_per_site(spark, sf_dir):
     return enrichment.top_k(_scores(spark, sf_dir), "feature", "score", 3, "kinase").select("feature", "kinase", *r6("score"), "rank")
 
 
+@query(f"WITH {_ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, kinase) AS rank FROM s) SELECT feature, kinase, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3")
+def topk_per_site_whole(spark, sf_dir):
+    return enrichment.top_k(_scores(spark, sf_dir, None), "feature", "score", 3, "kinase").select("feature", "kinase", *r6("score"), "rank")
+
+
 @query("""WITH e AS (SELECT vec_id AS feature, 'p' || (vec_id % 37) AS protein, 'm' || (vec_id % 5) AS module, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS score FROM embeddings),
 c AS (SELECT module, 'k' || k AS kinase, count(DISTINCT protein)::DOUBLE AS amount FROM e WHERE k < 12 AND score > 0.1 GROUP BY 1, 2)
 SELECT module, kinase, amount, round(100 * amount / sum(amount) OVER (PARTITION BY module), 6) AS percent FROM c""")
 def module_table(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
+    return _module_table(_scores(spark, sf_dir))
+
+
+@query(f"""WITH {_ALL_SCORES}, c AS (SELECT 'm' || (feature % 5) AS module, kinase, count(DISTINCT 'p' || (feature % 37))::DOUBLE AS amount FROM s WHERE score > 0.1 GROUP BY 1, 2)
+SELECT module, kinase, amount, round(100 * amount / sum(amount) OVER (PARTITION BY module), 6) AS percent FROM c""")
+def module_table_whole(spark, sf_dir):
+    return _module_table(_scores(spark, sf_dir, None))
+
+
+def _module_table(scores):
     sites = scores.select("feature").distinct().select("feature", F.concat(F.lit("p"), (F.col("feature") % 37).cast("string")).alias("protein"), F.concat(F.lit("m"), (F.col("feature") % 5).cast("string")).alias("module"))
     out = signalome.module_table(sites, signalome.kinase_substrates(scores, 0.1))
     return out.select("module", "kinase", "amount", F.round(100 * F.col("amount") / F.sum("amount").over(W.partitionBy("module")), 6).alias("percent"))
@@ -496,4 +519,4 @@ def wilson_bounds(spark, sf_dir):
 
 @query()
 def signalome_clusters(spark, sf_dir):
-    return signalome.cluster_sites(_scores(spark, sf_dir))
+    return signalome.cluster_sites(_scores(spark, sf_dir, None))

@@ -245,3 +245,16 @@ def test_hamming_join_whole_equals_brute_force(spark, tmp_path):
     brute = sorted((a, b, d) for (a, b), d in differ.items() if d <= 2)
     assert any(d for _, _, d in brute)
     assert sorted(map(tuple, queries.hamming_join_whole(spark, str(tmp_path)).collect())) == brute
+
+
+def test_kinase_queries_take_all_components(spark, tmp_path):
+    """What tells the sites apart lies behind the twelfth component."""
+    rows = [(i, [0.01 * ((i + k * k) % 5) for k in range(13)] + [0.9 if i < 4 else 0.0, 0.8 if i < 4 else 0.1, 0.0 if i < 4 else 0.7]) for i in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    met = {(r["source"], r["target"]): r["r"] for r in queries.kinase_network_whole(spark, str(tmp_path)).collect()}
+    assert len(met) == 16 * 15 // 2 and met["k13", "k15"] == pytest.approx(-1)
+    best = {(r["feature"], r["rank"]): r["kinase"] for r in queries.topk_per_site_whole(spark, str(tmp_path)).collect()}
+    assert [best[0, 1], best[0, 2], best[7, 1], best[7, 2]] == ["k13", "k14", "k15", "k14"]
+    assert {r["kinase"] for r in queries.module_table_whole(spark, str(tmp_path)).collect()} == {"k13", "k14", "k15"}
+    labels = {r["feature"]: r["cluster"] for r in queries.signalome_clusters(spark, str(tmp_path)).collect()}
+    assert not {labels[i] for i in range(4)} & {labels[i] for i in range(4, 8)}
