@@ -354,6 +354,20 @@ def tiered_match(spark, sf_dir):
     return enrichment.match_sites(asked, db)[0].select("key", "tier")
 
 
+@query(f"""WITH {FEATURES}, n AS (SELECT p_brand AS p, p_type AS g, floor(p_retailprice)::INT % 50 + 1 AS n FROM part), d AS (SELECT *, CASE n % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'T' ELSE 'Y' END AS r FROM n),
+q AS (SELECT DISTINCT protein, gene, residue, site_position FROM features),
+m AS (SELECT q.*, EXISTS (SELECT 1 FROM d WHERE d.p = q.protein AND d.r = q.residue AND d.n = q.site_position) AS a, EXISTS (SELECT 1 FROM d WHERE d.g = q.gene AND d.r = q.residue AND d.n = q.site_position) AS b FROM q)
+SELECT protein || '|' || gene || '|' || residue || site_position || '|M1' AS key, CASE WHEN a THEN 'protein' ELSE 'gene' END AS tier FROM m WHERE a OR b""")
+def tiered_match_whole(spark, sf_dir):
+    """All features against a database of all parts, whose positions are another column: the price in whole units, modulo 50."""
+    c = F.col
+    position = (F.floor("p_retailprice") % 50 + 1).cast("int")
+    residue = F.when(c("position") % 3 == 0, "S").when(c("position") % 3 == 1, "T").otherwise("Y")
+    db = table(spark, sf_dir, "part").select(c("p_brand").alias("substrate_uniprot"), c("p_type").alias("substrate_gene"), position.alias("position")).withColumn("residue", residue)
+    asked = B.features(spark, sf_dir).select(keys.full_key(c("protein"), c("gene"), c("residue"), c("site_position"), F.lit(1)).alias("key"))
+    return enrichment.match_sites(asked, db)[0].select("key", "tier")
+
+
 # ---- distances, network, modules
 
 

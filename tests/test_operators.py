@@ -258,3 +258,13 @@ def test_kinase_queries_take_all_components(spark, tmp_path):
     assert {r["kinase"] for r in queries.module_table_whole(spark, str(tmp_path)).collect()} == {"k13", "k14", "k15"}
     labels = {r["feature"]: r["cluster"] for r in queries.signalome_clusters(spark, str(tmp_path)).collect()}
     assert not {labels[i] for i in range(4)} & {labels[i] for i in range(4, 8)}
+
+
+def test_tiered_match_whole_asks_every_feature(spark, tmp_path):
+    """The database's positions come from the price; parts of every remainder are asked and matched."""
+    rows = [(k, "n", f"B{k % 3}", f"T{k // 5}", 3 + k, 902.0 + (k + 1) // 2) for k in range(1, 13)]
+    spark.createDataFrame(rows, PARTS).write.parquet(f"{tmp_path}/part.parquet")
+    proteins, genes = {(r[2], int(r[5]) % 50 + 1) for r in rows}, {(r[3], int(r[5]) % 50 + 1) for r in rows}
+    tiers = {f"{b}|{t}|{'STY'[n % 3]}{n}|M1": "protein" if (b, n) in proteins else "gene" if (t, n) in genes else None for _, _, b, t, n, _ in rows}
+    assert set(tiers.values()) == {"protein", "gene", None}
+    assert {r["key"]: r["tier"] for r in queries.tiered_match_whole(spark, str(tmp_path)).collect()} == {k: t for k, t in tiers.items() if t}
