@@ -268,3 +268,22 @@ def test_tiered_match_whole_asks_every_feature(spark, tmp_path):
     tiers = {f"{b}|{t}|{'STY'[n % 3]}{n}|M1": "protein" if (b, n) in proteins else "gene" if (t, n) in genes else None for _, _, b, t, n, _ in rows}
     assert set(tiers.values()) == {"protein", "gene", None}
     assert {r["key"]: r["tier"] for r in queries.tiered_match_whole(spark, str(tmp_path)).collect()} == {k: t for k, t in tiers.items() if t}
+
+
+def test_ward_tree_equals_linkage():
+    x = np.random.default_rng(5).normal(size=(90, 4))
+    x[20:40] = x[3]  # repeated rows
+    plain = dimred.linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), "ward")
+    tree = dimred.ward_tree(x)
+    assert tree[:, 2] == pytest.approx(plain[:, 2], abs=1e-7)
+    assert all((dimred.cut_tree(tree, k) == dimred.cut_tree(plain, k)).all() for k in range(1, 12))
+
+
+def test_small_cluster_among_many_sites(spark):
+    """More sites than MAX_EXACT; the sites of the small cluster have the largest hashes."""
+    ids = [r["id"] for r in spark.range(5100).orderBy(F.xxhash64("id")).collect()]
+    small = set(ids[-6:])
+    rows = [(i, k, 0.9 - i * 1e-6 if (i in small and k == "c") or (i not in small and k == "ab"[i % 2]) else 0.1) for i in ids for k in "abc"]
+    out = {r["feature"]: r["cluster"] for r in signalome.cluster_sites(spark.createDataFrame(rows, "feature long, kinase string, score double"), 3).collect()}
+    assert len(out) == 5100
+    assert {out[i] for i in small}.isdisjoint(out[i] for i in ids[:-6])
