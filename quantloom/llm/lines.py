@@ -47,8 +47,9 @@ def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
 def _sequences(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_ql_doc, _ql_text, seq (among the non-blank lines), line (its number in the text), key, words."""
     lines = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
-    parts = frame.select(*_key(id_col, text_col), F.posexplode(F.filter(lines, lambda s: s["x"].rlike(WORD))).alias("seq", "s"))
-    return parts.select("_ql_doc", "_ql_text", "seq", F.col("s.line").alias("line"), F.unhex(F.md5(F.col("s.x").cast("binary"))).alias("key"), F.regexp_count("s.x", F.lit(WORD)).alias("words"))
+    narrow = F.transform(F.filter(lines, lambda s: s["x"].rlike(WORD)), lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"].cast("binary"))).alias("key"), F.regexp_count(s["x"], F.lit(WORD)).alias("words")))
+    own = frame.select(*_key(id_col, text_col), narrow.alias("s")).dropDuplicates(["_ql_doc", "_ql_text"])  # repeated rows are one document
+    return own.select("_ql_doc", "_ql_text", F.posexplode("s").alias("seq", "s")).select("_ql_doc", "_ql_text", "seq", "s.line", "s.key", "s.words")
 
 
 def _numbered(counts: DataFrame, *by: str) -> DataFrame:

@@ -113,6 +113,14 @@ def test_line_dedup_edge_cases(spark):
     assert lines.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_run_of_lines_in_a_repeated_row(spark):
+    """The run's eight words lie over four lines; both rows of one document are treated alike."""
+    run = "a b\nc d\ne f\ng h"
+    docs = [(1, run + "\nfirst"), (1, run + "\nfirst"), (2, "own\n" + run), (2, "own\n" + run), (3, run + "\nthird")]
+    out = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, docs[0][1])] * 2 + [(2, "own")] * 2 + [(3, "third")]
+
+
 def test_short_repeated_lines_are_deleted(spark, tmp_path):
     """Runs of one short line, alone, beside each other and twice in a document."""
     docs = [(1, "yes no\n\nown words of one"), (2, "own words of two\nyes no\nx"), (3, "yes no\nx\nyes no"), (4, "x\nlast"), (5, ""), (6, None)]
