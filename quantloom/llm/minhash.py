@@ -10,14 +10,18 @@ Links decide components, so links inside a component need not all be looked at:
 2. In each bucket (band value) every class is compared with the bucket's centre, the class that shares most
    buckets with others: as many pairs as members, and an original is the centre of its copies even where
    these are too far from each other. Verified links give components.
-3. What is left are buckets that still hold several components. Up to SMALL members, all pairs of
-   different components are compared. Larger ones go through an exact prefix filter: shingles are ordered
-   by a sketch of their frequency (rare ones first), and sets that reach the threshold must share one of
-   their first n - ceil(t n) + 1, so only classes that share such a rare shingle are compared. No pair
-   that reaches the threshold is lost by it; there is no cap on buckets or candidates.
-Before texts are fetched, pairs must agree in enough 4-bit remains of their K coordinates (below 0.6 of
-them, a pair at the threshold is met with a probability of 3e-8). Every pair is confirmed on the full
-sets of its words, not on hashes.
+3. What is left are pairs of different components in one bucket. Up to SMALL members they are all compared.
+   In a larger one the classes are described by what they differ in from the centre c: D(x) is the symmetric
+   difference of x and c. As x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, a link asks that
+   D(x) and D(y) share at least (e(x) + e(y)) / 2 of them, where e(x) = |D(x)| - q |x| and q = (1 - t) / (1 + t).
+   e(x) > q |c| for every x that isn't linked with c, so such an x has to share some of its differences with
+   y: only pairs that share one of the rarest differences (a prefix filter, as long as the bound asks for)
+   are compared. Copies with changes of their own share none and meet nobody; copies of changed copies do.
+   It is exact: a pair that shares a band is compared whenever its sets can reach the threshold, in buckets
+   of any size; there is no cap on buckets or candidates, and SMALL changes no result.
+Before texts are fetched, pairs of small buckets and centres must agree in enough 4-bit remains of their K
+coordinates (below 0.6 of them, a pair at the threshold is met with a probability of 3e-8). Every link is
+confirmed on the full sets of its words, not on hashes.
 
 Tables between the steps are written to the shared folder. The texts of classes that are in some pair
 are fetched by a join whose small side is broadcast only after a count.
@@ -32,12 +36,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import drop_scratch, read_table, scratch, sized_broadcast
@@ -47,9 +52,8 @@ from quantloom.llm.graph import components
 PERCENT = 80
 BANDS, BAND_ROWS = 32, 4
 SPACE_BITS = 20
-#: Largest bucket whose pairs are all compared; larger ones go through the prefix filter.
+#: Largest bucket whose pairs are all compared; in larger ones, those that share a rare difference from the centre.
 SMALL = 16
-SKETCH = 1 << 18
 WORDS_HELD = 200_000
 SETS_HELD = 64
 
@@ -180,19 +184,25 @@ def signatures(frame: DataFrame, k: int, bands: int = BANDS, rows: int = BAND_RO
 
 
 class _Sets:
-    """The last few shingle sets, by (doc_id, th)."""
+    """Hashes and full shingle sets of the last few texts, by (doc_id, th)."""
 
     def __init__(self, k: int):
-        self.k, self.held = k, OrderedDict()
+        self.k, self.words, self.held, self.full = k, WordHashes(), OrderedDict(), OrderedDict()
 
-    def get(self, key: tuple, text: str | None) -> set:
-        if key in self.held:
-            self.held.move_to_end(key)
+    def _get(self, held: OrderedDict, key: tuple, make: Callable[[], object]):
+        if key in held:
+            held.move_to_end(key)
         else:
-            self.held[key] = shingle_set(words_of(text), self.k)
-            if len(self.held) > SETS_HELD:
-                self.held.popitem(last=False)
-        return self.held[key]
+            held[key] = make()
+            if len(held) > SETS_HELD:
+                held.popitem(last=False)
+        return held[key]
+
+    def hashes(self, key: tuple, text: pa.Scalar) -> np.ndarray:
+        return self._get(self.held, key, lambda: self.words.shingles(text.as_py(), self.k))
+
+    def set(self, key: tuple, text: pa.Scalar) -> set:
+        return self._get(self.full, key, lambda: shingle_set(words_of(text.as_py()), self.k))
 
 
 def linked(a: set, b: set, percent: int) -> bool:
@@ -200,8 +210,12 @@ def linked(a: set, b: set, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs: a, ath, b, bth of classes. Returns those whose full sets reach the threshold.
+COMPARED = "a long, ath long, b long, bth long, linked boolean, delta array<long>"
+_COMPARED_ARROW = pa.schema([*((c, pa.int64()) for c in ("a", "ath", "b", "bth")), ("linked", pa.bool_()), ("delta", pa.list_(pa.int64()))])
+
+
+def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs: a, ath, b, bth of classes, wide. Whether their full sets reach the threshold, and, of wide pairs, the hashes in which they differ.
 
     pairs must be materialised: it is read three times.
     """
@@ -211,18 +225,24 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     held = scratch(wanted, "mh-texts")
     one = held.select(F.col("doc_id").alias("a"), F.col("th").alias("ath"), F.col("text").alias("atext"))
     two = held.select(F.col("doc_id").alias("b"), F.col("th").alias("bth"), F.col("text").alias("btext"))
-    sides = pairs.join(two, ["b", "bth"]).join(one, ["a", "ath"]).select("a", "ath", "b", "bth", "atext", "btext")
+    sides = pairs.join(two, ["b", "bth"]).join(one, ["a", "ath"]).select("a", "ath", "b", "bth", "wide", "atext", "btext")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets(k)
-        for batch in batches:
-            keep = []
-            for a, ath, b, bth, atext, btext in zip(*batch.columns, strict=True):
-                one, two = (sets.get((x.as_py(), y.as_py()), t.as_py()) for x, y, t in ((a, ath, atext), (b, bth, btext)))
-                keep.append(linked(one, two, percent))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], ["a", "ath", "b", "bth"])
-
-    out = scratch(sides.mapInArrow(run, "a long, ath long, b long, bth long"), "mh-links")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch, hits, deltas = whole.slice(start, 512), [], []
+                for a, ath, b, bth, wide, atext, btext in zip(*batch.columns, strict=True):
+                    one, two = (a.as_py(), ath.as_py()), (b.as_py(), bth.as_py())
+                    x, y = sets.hashes(one, atext), sets.hashes(two, btext)
+                    differ = np.setxor1d(x, y, assume_unique=True)
+                    both = (len(x) + len(y) - len(differ)) // 2
+                    hit = 100 * both >= percent * (both + len(differ))
+                    hits.append(hit and linked(sets.set(one, atext), sets.set(two, btext), percent))
+                    deltas.append(differ.view(np.int64) if wide.as_py() else None)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hits, pa.bool_()), pa.array(deltas, pa.list_(pa.int64()))], schema=_COMPARED_ARROW)
+
+    out = scratch(sides.mapInArrow(run, COMPARED), "mh-compared")
     drop_scratch(pairs.sparkSession, ends, held)
     return out
 
@@ -231,36 +251,40 @@ def _near_sizes(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def _prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """members: doc_id, th, n, component, remains. Pairs of different components that share a rare enough shingle."""
-    texts = scratch(docs.join(sized_broadcast(members), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "n", "component", "remains", "text"), "mh-large")
+def _difference_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under one centre that share a rare enough difference from it.
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(total, (hashes.shingles(text.as_py(), k) % np.uint64(SKETCH)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    sketch = np.zeros(SKETCH, np.int64)
-    for row in texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most SKETCH rows
-        sketch[row["at"]] = row["n"]
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
-
-    def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = hashes.shingles(batch.column(5)[i].as_py(), k)
-                order = np.lexsort((own, shared.value[(own % np.uint64(SKETCH)).astype(np.int64)]))
-                first = own[order[: len(own) - -(-percent * len(own) // 100) + 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(first), *(pa.array([c[i].as_py()] * len(first), pa.int64()) for c in batch.columns[:4])], ["s", "doc_id", "th", "n", "component"])
-
-    rows = scratch(texts.mapInArrow(prefix, "s long, doc_id long, th long, n long, component long"), "mh-prefix")
-    several = rows.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    rows = rows.join(several, "s").join(texts.select("doc_id", "th", "remains"), ["doc_id", "th"])
-    return _pairs_of(rows, "s", percent, least)
+    members: a, ath (the centre), an, b, bth, n, component, linked (with the centre), delta.
+    """
+    spark = members.sparkSession
+    q = (100 - percent) / (100 + percent)
+    d = F.size("delta")
+    excess, own = d - q * F.col("n"), q * F.col("an")
+
+    def prefix(least: Column) -> Column:
+        return (d - F.greatest(F.lit(1), F.ceil(least / 2 - 1e-6)) + 1).cast("int")
+
+    # near: enough for partners that aren't linked with the centre; far: for any partner
+    rows = members.withColumns({"near": prefix(excess + own), "far": prefix(excess - own), "d": d})
+    rows = rows.select("a", "ath", "b", "bth", "n", "component", "linked", "near", "far", "d", F.explode("delta").alias("s"))
+    # differences in which a pair may meet; all others come first in the order, whatever their frequency
+    shared = rows.groupBy("a", "ath", "s").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"))
+    shared = scratch(shared.where("lo < hi and not all_linked").select("a", "ath", "s", "f"), "mh-shared-differences")
+    each = W.partitionBy("a", "ath", "b", "bth")
+    ranked = rows.join(shared, ["a", "ath", "s"]).withColumn("place", F.col("d") - F.count("*").over(each) + F.row_number().over(each.orderBy("f", "s")))
+    ranked = scratch(ranked.where((F.col("place") <= F.col("near")) | (~F.col("linked") & (F.col("place") <= F.col("far")))).drop("d", "f"), "mh-differences")
+    names = ("b", "bth", "n", "component", "linked", "near", "place")
+    one = ranked.where("not linked").select("a", "ath", "s", *(F.col(c).alias(f"x_{c}") for c in names))
+    two = ranked.where("place <= near").select("a", "ath", "s", *(F.col(c).alias(f"y_{c}") for c in names))
+    first = (F.col("x_b") < F.col("y_b")) | ((F.col("x_b") == F.col("y_b")) & (F.col("x_bth") < F.col("y_bth")))
+    once = F.col("y_linked") | ((F.col("x_place") <= F.col("x_near")) & first)
+    met = one.join(two, ["a", "ath", "s"]).where((F.col("x_component") != F.col("y_component")) & _near_sizes(F.col("x_n"), F.col("y_n"), percent) & once)
+    ends = (("x_b", "a"), ("x_bth", "ath"), ("y_b", "b"), ("y_bth", "bth"))
+    turned = (("y_b", "a"), ("y_bth", "ath"), ("x_b", "b"), ("x_bth", "bth"))
+    found = met.select(*(F.when(first, F.col(c)).otherwise(F.col(d)).alias(name) for (c, name), (d, _) in zip(ends, turned, strict=True)))
+    out = scratch(found.distinct(), "mh-difference-pairs")
+    drop_scratch(spark, shared, ranked)
+    return out
 
 
 def _pairs_of(rows: DataFrame, key: str, percent: int, least: int) -> DataFrame:
@@ -290,34 +314,38 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
     counts = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     entries = scratch(entries.join(counts, "bucket"), "mh-entries")
     central = entries.groupBy("doc_id", "th").agg(F.sum("m").alias("shared"))
-    entries = scratch(entries.join(classes.select("doc_id", "th", "n", "remains").join(central, ["doc_id", "th"]), ["doc_id", "th"]), "mh-shared")
+    bare, entries = entries, scratch(entries.join(classes.select("doc_id", "th", "n", "remains").join(central, ["doc_id", "th"]), ["doc_id", "th"]), "mh-shared")
+    drop_scratch(spark, bare)
     me = F.struct(-F.col("shared"), "doc_id", "th", "n", "remains")
-    centres = entries.groupBy("bucket").agg(F.min(me).alias("c"))
-    stars = entries.join(centres, "bucket").where((F.col("c.doc_id") != F.col("doc_id")) | (F.col("c.th") != F.col("th")))
+    centres = scratch(entries.groupBy("bucket").agg(F.min(me).alias("c")), "mh-centres")
     likely = _near_sizes(F.col("n"), F.col("c.n"), percent) & (agreeing(F.col("remains"), F.col("c.remains"), bands, rows) >= least)
-    stars = stars.where(likely).select(F.col("c.doc_id").alias("a"), F.col("c.th").alias("ath"), F.col("doc_id").alias("b"), F.col("th").alias("bth")).distinct()
-    stars = scratch(stars, "mh-stars")
-    links = verify(stars, docs, shingle, percent)
+    stars = entries.join(centres, "bucket").where((F.col("c.doc_id") != F.col("doc_id")) | (F.col("c.th") != F.col("th")))
+    stars = stars.select(F.col("c.doc_id").alias("a"), F.col("c.th").alias("ath"), F.col("doc_id").alias("b"), F.col("th").alias("bth"), likely.alias("likely"), (F.col("m") > SMALL).alias("wide"))
+    stars = scratch(stars.where("likely or wide").groupBy("a", "ath", "b", "bth").agg(F.max("likely").alias("likely"), F.max("wide").alias("wide")), "mh-stars")
+    met = compare(stars, docs, shingle, percent)
     # rows of a repeated doc_id share a component
     own = signed.where("doc_id is not null").select(F.col("doc_id").alias("a"), "set_key")
     same = own.join(classes.select("set_key", F.col("doc_id").alias("b")), "set_key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    edges = links.select("a", "b")
-    labels = scratch(components(edges), "mh-labels")
+    labels = scratch(components(met.where("linked").select("a", "b")), "mh-labels")
 
     # buckets that still hold several components
-    labeled = entries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labeled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    held = scratch(labeled.join(mixed.select("bucket"), "bucket").select("bucket", "m", "doc_id", "th", "n", "component", "remains"), "mh-mixed")
-    pairs = _pairs_of(held.where(F.col("m") <= SMALL), "bucket", percent, least)
-    large = scratch(held.where(F.col("m") > SMALL).select("doc_id", "th", "n", "component", "remains").distinct(), "mh-large-members")
-    if large.limit(1).count():
-        pairs = pairs.unionAll(_prefix_pairs(large, docs, shingle, percent, least)).distinct()
-    done = stars.select("a", "ath", "b", "bth").unionAll(stars.select("b", "bth", "a", "ath"))
-    rest = scratch(pairs.join(done, ["a", "ath", "b", "bth"], "left_anti"), "mh-rest")
-    more = verify(rest, docs, shingle, percent)
+    label = labels.withColumnRenamed("node", "doc_id")
+    few = entries.where(F.col("m") <= SMALL).drop("shared").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    few = scratch(few, "mh-few")
+    pairs = _pairs_of(few, "bucket", percent, least)
+    wide = met.where("delta is not null").drop("wide")
+    mixed = wide.where("not linked").select("a", "ath").distinct()
+    sizes = classes.select("doc_id", "th", "n")
+    wide = wide.join(mixed, ["a", "ath"]).join(sizes.toDF("a", "ath", "an"), ["a", "ath"]).join(sizes.toDF("b", "bth", "n"), ["b", "bth"])
+    wide = scratch(wide.join(labels.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b")), "mh-wide")
+    if wide.limit(1).count():
+        pairs = pairs.unionAll(_difference_pairs(wide, percent)).distinct()
+    done = met.select("a", "ath", "b", "bth").unionAll(met.select("b", "bth", "a", "ath"))
+    rest = scratch(pairs.join(done, ["a", "ath", "b", "bth"], "left_anti").withColumn("wide", F.lit(False)), "mh-rest")
+    more = compare(rest, docs, shingle, percent)
     stars_so_far = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # not the links again: components are stars by now
-    found = components(stars_so_far.unionAll(more.select("a", "b")).unionAll(same.select("a", "b")))
-    drop_scratch(spark, held, large, rest, stars, labels, entries)
+    found = components(stars_so_far.unionAll(more.where("linked").select("a", "b")).unionAll(same.select("a", "b")))
+    drop_scratch(spark, few, wide, rest, stars, centres, labels, entries, met)
     component = F.coalesce("component", "doc_id")
     return signed.join(found.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select(
         "doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
@@ -330,10 +358,10 @@ def drop_near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERC
     Rows that repeat both id and text count as one; rows with a null id stay.
     """
     groups = near_duplicates(frame, shingle, percent, id_col, text_col)
-    first = groups.where("kept").groupBy(F.col("doc_id").alias("_ql_doc")).agg(F.min("th").alias("_ql_th"))
-    keyed = frame.withColumns({"_ql_doc": F.col(id_col).cast("long"), "_ql_th": F.xxhash64(F.col(text_col).cast("string"))})
-    kept = keyed.where("_ql_doc is not null").join(first, ["_ql_doc", "_ql_th"], "left_semi").dropDuplicates(["_ql_doc", "_ql_th"])
-    return kept.unionByName(keyed.where("_ql_doc is null")).select(*(F.col(f"`{c}`") for c in frame.columns))
+    first = groups.where("kept").groupBy(F.col("doc_id").alias("doc")).agg(F.min("th").alias("th"))
+    keyed = frame.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    kept = keyed.where("doc is not null").join(first, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    return kept.unionByName(keyed.where("doc is null")).select(*(F.col("row").getField(c).alias(c) for c in frame.columns))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,19 +56,26 @@ def test_near_duplicates_equal_brute_force(spark, seed, k):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in out.items())
 
 
-def test_large_buckets_go_through_the_prefix_filter(spark, monkeypatch):
-    """Chains: neighbours reach the threshold, others don't; everything shares a bucket size over the small limit."""
-    monkeypatch.setattr(minhash, "SMALL", 2)
+@pytest.mark.parametrize("small", [0, 2, 16])
+def test_large_buckets_equal_brute_force(spark, monkeypatch, small):
+    """Chains, in which neighbours reach the threshold, others don't; copies of one text with changes of their own and shared changes."""
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(3)
     words = [f"v{rng.randrange(10**6)}" for _ in range(100)]
     docs = [" ".join(words)]
     for _ in range(40):
         words = words[4:] + [f"v{rng.randrange(10**6)}" for _ in range(4)]
         docs.append(" ".join(words))
-    docs = [docs[i] for i in rng.sample(range(41), 41)]
+    base = [f"u{rng.randrange(10**6)}" for _ in range(90)]
+    docs += [" ".join(mutated(rng, base, rng.randint(3, 14))) for _ in range(50)]
+    for _ in range(8):
+        far = mutated(rng, base, 10)
+        docs += [" ".join(mutated(rng, far, rng.randint(0, 4))) for _ in range(5)]
+    docs = [docs[i] for i in rng.sample(range(len(docs)), len(docs))]
     frame = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(docs)], DOCS)
-    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, 2).collect()}
-    assert out == brute_near(list(enumerate(docs)), 2, 80)
+    for k in (2, 5):
+        out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, k).collect()}
+        assert out == brute_near(list(enumerate(docs)), k, 80)
 
 
 def test_near_duplicate_edge_rows(spark):
@@ -80,6 +87,8 @@ def test_near_duplicate_edge_rows(spark):
     kept = minhash.drop_near_duplicates(frame)
     assert kept.columns == frame.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["7", "None"]
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
+    clash = frame.selectExpr("doc_id", "text", "source as row", "bucket as th", "1 as _ql_doc", "2 as doc")
+    assert minhash.drop_near_duplicates(clash).columns == clash.columns
 
 
 def test_signature_is_circulant(spark):
