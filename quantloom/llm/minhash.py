@@ -265,20 +265,22 @@ def _difference_pairs(members: DataFrame, percent: int) -> DataFrame:
         return (d - F.greatest(F.lit(1), F.ceil(least / 2 - 1e-6)) + 1).cast("int")
 
     # near: enough for partners that aren't linked with the centre; far: for any partner
-    rows = members.withColumns({"near": prefix(excess + own), "far": prefix(excess - own), "d": d})
-    rows = rows.select("a", "ath", "b", "bth", "n", "component", "linked", "near", "far", "d", F.explode("delta").alias("s"))
+    rows = members.withColumns({"near": prefix(excess + own), "far": prefix(excess - own), "d": d, "excess": excess})
+    rows = rows.select("a", "ath", "b", "bth", "n", "component", "linked", "near", "far", "d", "excess", F.explode("delta").alias("s"))
     # differences in which a pair may meet; all others come first in the order, whatever their frequency
     shared = rows.groupBy("a", "ath", "s").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"))
     shared = scratch(shared.where("lo < hi and not all_linked").select("a", "ath", "s", "f"), "mh-shared-differences")
     each = W.partitionBy("a", "ath", "b", "bth")
     ranked = rows.join(shared, ["a", "ath", "s"]).withColumn("place", F.col("d") - F.count("*").over(each) + F.row_number().over(each.orderBy("f", "s")))
-    ranked = scratch(ranked.where((F.col("place") <= F.col("near")) | (~F.col("linked") & (F.col("place") <= F.col("far")))).drop("d", "f"), "mh-differences")
-    names = ("b", "bth", "n", "component", "linked", "near", "place")
+    ranked = scratch(ranked.where((F.col("place") <= F.col("near")) | (~F.col("linked") & (F.col("place") <= F.col("far")))).withColumn("left", F.col("d") - F.col("place") + 1).drop("d", "f"), "mh-differences")
+    names = ("b", "bth", "n", "component", "linked", "near", "place", "left", "excess")
     one = ranked.where("not linked").select("a", "ath", "s", *(F.col(c).alias(f"x_{c}") for c in names))
     two = ranked.where("place <= near").select("a", "ath", "s", *(F.col(c).alias(f"y_{c}") for c in names))
     first = (F.col("x_b") < F.col("y_b")) | ((F.col("x_b") == F.col("y_b")) & (F.col("x_bth") < F.col("y_bth")))
     once = F.col("y_linked") | ((F.col("x_place") <= F.col("x_near")) & first)
-    met = one.join(two, ["a", "ath", "s"]).where((F.col("x_component") != F.col("y_component")) & _near_sizes(F.col("x_n"), F.col("y_n"), percent) & once)
+    # at the first difference that a pair shares, what is left must hold all that it has to share
+    enough = F.least("x_left", "y_left") >= (F.col("x_excess") + F.col("y_excess")) / 2 - 1e-6
+    met = one.join(two, ["a", "ath", "s"]).where(enough & (F.col("x_component") != F.col("y_component")) & _near_sizes(F.col("x_n"), F.col("y_n"), percent) & once)
     ends = (("x_b", "a"), ("x_bth", "ath"), ("y_b", "b"), ("y_bth", "bth"))
     turned = (("y_b", "a"), ("y_bth", "ath"), ("x_b", "b"), ("x_bth", "bth"))
     found = met.select(*(F.when(first, F.col(c)).otherwise(F.col(d)).alias(name) for (c, name), (d, _) in zip(ends, turned, strict=True)))
