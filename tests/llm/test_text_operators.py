@@ -192,3 +192,18 @@ def test_cached_and_direct_scores_agree():
         ids, share = quality.document_units(text)
         expected = 1 / (1 + np.exp(-(share @ logits[ids]))) if len(ids) else 0.5
         assert abs(quality.Scorer(logits).scores([text])[0] - expected) < 1e-9
+
+
+def test_merger_equals_the_library():
+    """Short and long words, ties of ranks, bytes that are no text."""
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, merger = random.Random(5), bpe.Merger(ranks)
+    words = [" " + "".join(rng.choice("abcdeéßあ语ن0 \n!") for _ in range(rng.randint(1, 90))) for _ in range(1500)]
+    words += ["a" * n for n in (1, 39, 40, 41, 777)] + ["abab" * 60, " the", "é" * 3000]
+    for word in words:
+        piece = word.encode()
+        expected = own._encode_single_piece(piece)
+        assert merger.encode(piece) == expected
+        if len(expected) > 1:
+            assert [ranks[p] for p in merger._heaped(piece)] == expected == [ranks[p] for p in merger._scanned(piece[:400])][: len(expected)] or len(piece) > 400
