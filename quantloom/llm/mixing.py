@@ -8,20 +8,25 @@ Selection: a source's complete epochs take every document; the rest of its targe
 order of exponential keys -ln(u) / quality weight. A prefix sum of sizes finds how many documents fit.
 Keys are dealt to buckets that grow in number with the table, so a prefix sum is one over bucket totals
 and one inside each bucket; no source is ever in one task. What the next document leaves unfilled goes to
-later documents that still fit, for a fixed number of rounds; the last round may round up.
+later documents that still fit, for a fixed number of rounds; the last round may round up. A round after the
+first takes only the rows that may still fit, so the table is written twice, not once a round. What is known
+of a source joins by broadcast as long as a count finds few sources, by a shuffle beyond that.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own; a
 null weight counts as 1, weights below 0.001 as 0.001; ties of keys (and repeated rows) are ordered by
-doc_id and size; an empty table gives an empty table; other columns are not read.
+doc_id and size; an empty table gives an empty table; other columns are not read. mixed_documents() counts
+rows that are equal in all columns one by one and returns as many of them as the mix takes together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import drop_scratch, read_table, scratch
+from quantloom.llm.common import drop_scratch, read_table, scratch, sized_broadcast
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, ROUNDS = 1.5, 2.0, 4
@@ -75,26 +80,33 @@ def mix(frame: DataFrame, size: Column, weight: Column | None = None, id_col: st
     size and weight are expressions over frame. A row is taken epochs times, and once more if selected.
     """
     weight = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1.0)), F.lit(0.001))
-    slim = frame.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.cast("long").alias("size"), weight.alias("weight"))
+    slim = frame.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.cast("long").alias("size"), weight.alias("weight"))
     slim = scratch(slim.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")).drop("weight"), "mix-rows")
     sizes = slim.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = scratch(source_targets(sizes, weights, share, cap), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = targets.withColumn("epochs", epochs).withColumn("gap", F.col("target") - F.col("epochs") * F.col("source_size"))
     buckets = max(16, slim.count() // BUCKET_ROWS)
-    rows, gaps, old = slim.withColumn("selected", F.lit(False)), budgets.select("src", "gap"), [slim]
+    todo, done, gaps = slim, [], scratch(budgets.select("src", "gap"), "mix-gaps")
     for k in range(rounds):
         near = F.col("size") / 2 if k == rounds - 1 else F.lit(0)
-        fits = rows.join(gaps, "src").withColumn("open", ~F.col("selected") & (F.col("size") > 0) & (F.col("size") - near <= F.col("gap")))
-        counted = _running(fits.withColumn("own", F.col("size")).withColumn("size", F.when(F.col("open"), F.col("size")).otherwise(0)), buckets)
-        chosen = counted.withColumn("size", F.col("own")).withColumn("selected", F.col("selected") | (F.col("open") & (F.col("upto") - near <= F.col("gap"))))
-        rows = scratch(chosen.select(*slim.columns, "selected"), f"mix-round{k}")
-        drop_scratch(rows.sparkSession, old.pop())
-        old.append(rows)
-        taken = rows.where("selected").groupBy("src").agg(F.sum("size").alias("held"))
-        gaps = budgets.join(taken, "src", "left").select("src", (F.col("gap") - F.coalesce("held", F.lit(0))).alias("gap"))
+        fits = todo.join(sized_broadcast(gaps), "src")
+        opened = (F.col("size") > 0) & (F.col("size") - near <= F.col("gap"))
+        chosen = _running(fits.where(opened), buckets).select(*slim.columns, (F.col("upto") - near <= F.col("gap")).alias("selected"))
+        state = scratch(chosen.unionByName(fits.where(~opened).select(*slim.columns, F.lit(False).alias("selected"))), f"mix-round{k}")
+        taken = state.where("selected").groupBy("src").agg(F.sum("size").alias("held"))
+        gaps = scratch(gaps.join(taken, "src", "left").select("src", (F.col("gap") - F.coalesce("held", F.lit(0))).alias("gap")), "mix-gaps")
+        if k == rounds - 1:
+            done.append(state)
+            break
+        # gaps only shrink: a row of which half is more than what is left is never taken
+        judged = state.join(sized_broadcast(gaps), "src").withColumn("over", F.col("selected") | (F.col("size") == 0) | (F.col("size") / 2 > F.col("gap")))
+        done.append(judged.where("over").select(*slim.columns, "selected"))
+        todo = judged.where("not over").select(*slim.columns)
+    rows = reduce(DataFrame.unionAll, done)
+    drop_scratch(frame.sparkSession, slim)
     taken = (F.col("epochs") * F.col("size") + F.when(F.col("selected"), F.col("size")).otherwise(0)).cast("long")
-    return rows.join(budgets, "src").select("doc_id", "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "selected", taken.alias("taken"))
+    return rows.join(sized_broadcast(budgets), "src").select("doc_id", "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "selected", taken.alias("taken"))
 
 
 def label_weight(quality: Column) -> Column:
@@ -105,21 +117,21 @@ def label_weight(quality: Column) -> Column:
 
 
 def with_label_weight(docs: DataFrame, labels: DataFrame, *columns: Column | str) -> DataFrame:
-    """The chosen columns of docs beside `_quality`: the best label of the document, or null."""
+    """doc_id and the chosen columns of docs beside `_quality`: the best label of the document, or null."""
     best = labels.groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max("quality").alias("_quality"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
     return slim.join(best, F.col("doc_id") == F.col("_label_id"), "left").drop("_label_id")
 
 
 def mixed_documents(frame: DataFrame, labels: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """The rows of frame as often as the mix takes them, with all columns; repeated rows get equal results."""
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    slim = frame.select(F.col(id_col).alias("doc_id"), row.alias("_row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    taken = mix(with_label_weight(slim, labels, "_row", "source", "size"), F.col("size"), label_weight(F.col("_quality")), "_row", "source", seed)
-    copies = (F.col("epochs") + F.col("selected").cast("int")).alias("_ql_copies")
-    copies = taken.select(F.col("doc_id").alias("_ql_row"), copies).groupBy("_ql_row").agg(F.max("_ql_copies").alias("_ql_copies")).where("_ql_copies > 0")
-    held = frame.withColumn("_ql_row", row).join(copies, "_ql_row")
-    return held.withColumn("_ql_copy", F.explode(F.sequence(F.lit(1), F.col("_ql_copies")))).select(*(F.col(f"`{c}`") for c in frame.columns))
+    """The rows of frame as often as the mix takes them, with all columns."""
+    row = F.concat_ws("/", F.xxhash64("*"), F.xxhash64(F.lit(seed), "*")).alias("key")  # 128 bits
+    slim = frame.select(F.col(id_col).alias("doc_id"), row, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    taken = mix(with_label_weight(slim, labels, "key", "source", "size"), F.col("size"), label_weight(F.col("_quality")), "key", "source", seed)
+    copies = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum(F.col("epochs") + F.col("selected").cast("int")).cast("int").alias("copies")).where("copies > 0")
+    held = frame.select(F.struct("*").alias("row"), row).join(copies, "key").dropDuplicates(["key"])  # equal rows are one row, taken as often as all of them
+    out = held.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in frame.columns))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

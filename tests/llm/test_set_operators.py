@@ -212,6 +212,23 @@ def test_heavier_documents_are_taken_more_often(spark):
             assert sum(heavy) / len(heavy) > sum(light) / len(light)
 
 
+def test_mixed_documents_with_repeated_rows_and_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 2}", i, i) for i in range(60)] + [(7, "same words here", "s1", 1, 1)] * 40 + [(7, "same words here", "s1", 2, 1)] * 3 + [(90, "w " * 100_000, "s0", 0, 0), (91, None, None, 0, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, key int, copies int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    out = mixing.mixed_documents(frame, labels)
+    assert out.columns == frame.columns
+    sizes, got = {}, {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + len((r[1] or "").split())
+    for r in out.collect():
+        assert tuple(r) in rows
+        got[r["source"]] = got.get(r["source"], 0) + len((r["text"] or "").split())
+    expected = water({s: sizes[s] for s in ("s0", "s1")}, {"s0": 3, "s1": 1}, 1.5 * sum(sizes.values()))
+    assert abs(got["s1"] - expected["s1"]) <= 3 and abs(got["s0"] - expected["s0"]) <= 100_000
+    assert mixing.mixed_documents(frame.limit(0), labels).count() == 0
+
+
 def test_scratch_tables_are_in_the_shared_folder(spark):
     out = scratch(spark.range(5), "t")
     assert out._scratch_path.startswith(shared_dir(spark)) and out.count() == 5
