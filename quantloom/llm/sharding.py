@@ -73,7 +73,8 @@ def shard_documents(frame: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
     rows = scratch(slim.withColumn("rid", rid), "shard-rows")
     total = rows.count()
     quota = -(-total // shards)  # rounded up
-    groups = rows.groupBy("text_key").agg(F.count("*").alias("members")).where("members > 1")
+    # written before it is joined, so that adaptive execution can split the rows of a hot text
+    groups = scratch(rows.groupBy("text_key").agg(F.count("*").alias("members")).where("members > 1"), "shard-groups")
     start = F.floor(_hash01(F.col("rid"), salt="start") * shards).cast("int")
     placed = scratch(
         rows.join(groups, "text_key", "left").select("doc_id", "size", "text_crc32", "rid", "text_key", "members", start.alias("start_shard")), "shard-placed"
@@ -89,7 +90,7 @@ def shard_documents(frame: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
     # a chunk of a hot group can be a whole shard: its rows are spread over buckets of their own
     fine = F.when(F.col("members") > BUCKET_ROWS, F.floor(_hash01(F.col("rid"), salt="fine") * F.ceil(F.col("members") / F.lit(BUCKET_ROWS)))).otherwise(0)
     ordered = scratch(labeled.select("doc_id", "size", "text_crc32", "start_shard", "shard", "rid", "hub", F.floor(place * buckets).alias("bucket"), fine.alias("fine")), "shard-ordered")
-    drop_scratch(ordered.sparkSession, rows, placed, moved)
+    drop_scratch(ordered.sparkSession, rows, placed, moved, groups)
     counts = ordered.groupBy("shard", "bucket", "fine").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket", "fine").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     inside = F.row_number().over(W.partitionBy("shard", "bucket", "fine").orderBy("hub", "rid"))
