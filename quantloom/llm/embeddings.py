@@ -4,8 +4,10 @@
 2. The second moments of the unit vectors (d x d sums) give the PCA rotation. It keeps dot products, and
    puts most of a vector's length into its leading dimensions.
 3. Unit vectors whose cosine reaches the threshold are at most sqrt(2 - 2 * threshold) apart, so they fall
-   into equal or neighbouring cells of the first leading coordinates. Cells are cut into panels of a bounded
-   number of vectors, and only panels of such cells meet, each pair once.
+   into equal or neighbouring cells of the first leading coordinates. A cell is cut into panels of a bounded
+   number of vectors, small cells that follow each other share a panel, and only panels of neighbouring
+   cells meet, each pair once. A panel's partners stream past it: it is sent once for itself and once to
+   each half of its neighbours, in the width of the input (4 bytes a component for floats).
 4. Two panels are compared tile by tile: the leading dimensions first; the norms of the rest bound what the
    other dimensions can add; when no cosine of a tile can reach the threshold the tile ends there. Pairs
    that are left accumulate more dimensions and are dropped by the same bound; dense tiles are
@@ -13,7 +15,8 @@
 5. A panel pair emits link counts and a spanning forest of its links, at most as many rows as vectors in
    it, so a group of near copies costs no quadratic rows. Components come from the forests.
 
-Memory of a task: two panels and one tile. Rotation and cells go to executors in d x d numbers.
+Memory of a task: two panels and one tile. Rotation and cells go to executors in d x d numbers; the cells
+are at most (2 / width + 2) ^ 3, whatever the table, and are planned on the driver.
 
 Defined results: vectors that are null, empty, zero, or hold null, NaN or infinite components link with
 nothing; vectors of different lengths don't link; rows with a null id link with nothing and have a null
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quantloom.llm.common import drop_scratch, read_table, scratch
 from quantloom.llm.graph import components
@@ -42,13 +46,18 @@ NEAR = 1e-9
 
 
 def _vectors(frame: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    own = frame.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """vec_id, v, key (128 bits of v), ok."""
+    kind = frame.schema[vector_col].dataType
+    held = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    own = frame.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{held}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return own.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False)))
+    own = own.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False)))
+    plain = F.transform("v", lambda x: x + F.lit(0.0).cast(held))  # -0.0 is 0.0
+    return own.withColumn("key", F.struct(F.xxhash64(plain).alias("x"), F.xxhash64(F.lit("own"), plain).alias("y")))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -66,13 +75,18 @@ def rotation(distinct: DataFrame, dim: int) -> np.ndarray:
             for start in range(0, batch.num_rows, 4096):
                 unit = _unit(_matrix(batch.column(0).slice(start, 4096)))
                 total += unit.T @ unit
-        yield pa.RecordBatch.from_arrays([pa.array(range(dim * dim), pa.int32()), pa.array(total.ravel())], ["at", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    sums = distinct.where(F.size("v") == dim).select("v").mapInArrow(moments, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    total = np.zeros(dim * dim)
-    for row in sums.collect():  # d x d rows
-        total[row["at"]] = row["value"]
-    return np.linalg.eigh(total.reshape(dim, dim))[1][:, ::-1].T.copy()
+    def add(batches):
+        total = np.zeros(dim * dim)
+        for batch in batches:
+            for sums in batch.column(0):
+                total += np.frombuffer(sums.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = distinct.where(F.size("v") == dim).select("v").mapInArrow(moments, "sums binary")
+    row = parts.repartition(16).mapInArrow(add, "sums binary").repartition(1).mapInArrow(add, "sums binary").first()  # d x d numbers
+    return np.linalg.eigh(np.frombuffer(row["sums"]).reshape(dim, dim))[1][:, ::-1].T.copy()
 
 
 class Panel:
@@ -181,10 +195,37 @@ def _reduced(edges: np.ndarray, n: int) -> np.ndarray:
             return np.stack([moved, labels[moved]])
 
 
-def _panels(distinct: DataFrame, dim: int, turn: np.ndarray, threshold: float) -> DataFrame:
-    """cell (array), panel (its name), ids, copies, raw (packed): one row per panel."""
+def plan_panels(cells: list[tuple[tuple[int, ...], int]], size: int) -> tuple[list[tuple], list[tuple]]:
+    """cells: (cell, its vectors). Returns (cell, first panel, panels) and, for groups of cells that touch, (first, panels, first, panels).
+
+    A cell of more than `size` vectors has panels of its own; smaller ones, in order, share one.
+    """
+    placed, groups, held, upto = [], [], 0, 0  # groups: (first panel, panels, cells)
+    for cell, n in sorted(cells):
+        parts = -(-n // size)
+        if parts == 1 and groups and groups[-1][1] == 1 and held + n <= size:
+            groups[-1][2].append(cell)
+            held += n
+        else:
+            groups.append((upto, parts, [cell]))
+            upto, held = upto + parts, n
+        placed.append((list(cell), groups[-1][0], parts))
+    home = {cell: g for g, (_, _, own) in enumerate(groups) for cell in own}
+    meet = set()
+    for cell, g in home.items():
+        for shift in itertools.product((-1, 0, 1), repeat=len(cell)):
+            other = home.get(tuple(c + d for c, d in zip(cell, shift, strict=True)))
+            if other is not None and g <= other:
+                meet.add((g, other))
+    return placed, [(*groups[g][:2], *groups[h][:2]) for g, h in sorted(meet)]
+
+
+def _panels(distinct: DataFrame, dim: int, turn: np.ndarray, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """panel, ids, copies, raw (packed), one row per panel; left, right of the panels that meet; the number of panels."""
+    spark = distinct.sparkSession
     width = float(np.sqrt(max(2 - 2 * threshold, 1e-6))) * (1 + 1e-6)
     dims = min(CELL_DIMS, dim)
+    kind = distinct.schema["v"].dataType.elementType.simpleString()
 
     def locate(batches):
         for batch in batches:
@@ -194,30 +235,30 @@ def _panels(distinct: DataFrame, dim: int, turn: np.ndarray, threshold: float) -
                 cell = pa.ListArray.from_arrays(pa.array(np.arange(0, lead.size + 1, dims, dtype=np.int32)), pa.array(lead.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, cell], ["rep", "copies", "v", "cell"])
 
-    placed = distinct.where(F.size("v") == dim).select("rep", "copies", "v").mapInArrow(locate, "rep long, copies long, v array<double>, cell array<int>")
+    placed = distinct.where(F.size("v") == dim).select("rep", "copies", "v").mapInArrow(locate, f"rep long, copies long, v array<{kind}>, cell array<int>")
     placed = scratch(placed, "vec-cells")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    part = F.floor(F.shiftrightunsigned(F.xxhash64("rep"), 11) / float(1 << 53) * F.ceil(F.col("n") / PANEL_ROWS))
-    rows = placed.join(sizes, "cell").withColumn("part", part)
+    cells = [(tuple(r["cell"]), r["n"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()]  # a few for each unit of space
+    homes, meet = plan_panels(cells, PANEL_ROWS)
+    home = spark.createDataFrame(homes, "cell array<int>, first long, parts long")
+    part = F.floor(F.shiftrightunsigned(F.xxhash64("rep"), 11) / float(1 << 53) * F.col("parts"))
+    rows = placed.join(F.broadcast(home), "cell").withColumn("panel", F.col("first") + part)  # one row per cell
 
     def pack(batches):
-        names = ["cell", "part", "ids", "copies", "raw"]
         for batch in batches:
             for k in range(batch.num_rows):
-                held = batch.column(2)[k].values
+                held = batch.column(1)[k].values
                 order = np.argsort(held.field("rep").to_numpy(zero_copy_only=False), kind="stable")
                 ids, copies = (held.field(c).to_numpy(zero_copy_only=False)[order] for c in ("rep", "copies"))
                 raw = held.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, copies, raw))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, copies, raw))], ["panel", "ids", "copies", "raw"])
 
-    grouped = rows.groupBy("cell", "part").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("held"))
-    packed = grouped.mapInArrow(pack, "cell array<int>, part long, ids binary, copies binary, raw binary")
-    return packed.withColumn("panel", F.concat_ws("/", F.concat_ws(",", "cell"), F.col("part")))
-
-
-def _neighbours(cell: str, dims: int):
-    shifts = list(itertools.product((-1, 0, 1), repeat=dims))
-    return F.array(*(F.array(*(F.get(cell, i) + F.lit(d) for i, d in enumerate(shift))) for shift in shifts))
+    grouped = rows.groupBy("panel").agg(F.collect_list(F.struct("rep", "copies", "v")).alias("held"))
+    packed = grouped.mapInArrow(pack, "panel long, ids binary, copies binary, raw binary")
+    pairs = spark.createDataFrame(meet, "a long, m long, b long, n long").select("a", "b", "n", F.explode(F.expr("sequence(a, a + m - 1)")).alias("x"))
+    pairs = pairs.select("x", F.explode(F.expr("sequence(b, b + n - 1)")).alias("y")).where("x <= y")
+    even = (F.col("x") + F.col("y")) % 2 == 0  # so that no panel has all its partners to itself
+    pairs = pairs.select(F.when(even, F.col("x")).otherwise(F.col("y")).alias("left"), F.when(even, F.col("y")).otherwise(F.col("x")).alias("right"))
+    return packed, pairs.where("left <> right"), sum({first: parts for _, first, parts in homes}.values())
 
 
 def link_vectors(frame: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -226,31 +267,27 @@ def link_vectors(frame: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         raise ValueError("threshold must be in (0, 1]")
     spark = frame.sparkSession
     vectors = scratch(_vectors(frame, id_col, vector_col), "vec-rows")
-    distinct = scratch(vectors.where("ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vec-distinct")
+    distinct = scratch(vectors.where("ok").groupBy("key").agg(F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vec-distinct")
     counts, edges = [], []
     for dim in sorted(r["d"] for r in distinct.select(F.size("v").alias("d")).distinct().collect()):
         turn = rotation(distinct, dim)
-        panels = scratch(_panels(distinct, dim, turn, threshold), "vec-panels")
-        dims = min(CELL_DIMS, dim)
-        names = panels.select("panel", "cell")
-        pairs = names.select(F.col("panel").alias("left"), F.explode(_neighbours("cell", dims)).alias("cell")).join(names.withColumnRenamed("panel", "right"), "cell").where("left <= right").select("left", "right")
-        sides = pairs.join(panels.select(F.col("panel").alias("left"), F.struct("ids", "copies", "raw").alias("a")), "left").join(
-            panels.select(F.col("panel").alias("right"), F.struct("ids", "copies", "raw").alias("b")), "right"
-        )
-
-        def run(batches, turn=turn, dim=dim):
-            def panel(cell) -> Panel:
-                ids, copies = (np.frombuffer(cell[c].as_py(), np.int64) for c in ("ids", "copies"))
-                return Panel(ids, copies, np.frombuffer(cell["raw"].as_py()).reshape(-1, dim), turn)
-
+        packed, pairs, n_panels = _panels(distinct, dim, turn, threshold)
+        panels = scratch(packed, "vec-panels")
+        # a panel, and after it those that it meets
+        sides = panels.select(F.col("panel").alias("left"), F.lit(-1).cast("long").alias("right"), "ids", "copies", "raw")
+        sides = sides.unionAll(pairs.join(panels.withColumnRenamed("panel", "right"), "right").select("left", "right", "ids", "copies", "raw"))
+        number = np.float32 if distinct.schema["v"].dataType.elementType.simpleString() == "float" else float
+
+        def run(batches, turn=turn, dim=dim, number=number):
+            one = None
             for batch in batches:
                 for k in range(batch.num_rows):
-                    right, left, a, b = (c[k] for c in batch.columns)
-                    same = left.as_py() == right.as_py()
-                    one = panel(a)
-                    two = one if same else panel(b)
-                    count_a, count_b, found = compare(one, two, same, threshold)
-                    ids = one.ids if same else np.concatenate([one.ids, two.ids])
+                    left, right, ids, copies, raw = (c[k].as_py() for c in batch.columns)
+                    own = Panel(np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), np.frombuffer(raw, number).astype(float).reshape(-1, dim), turn)
+                    same = right < 0
+                    one = own if same else one
+                    count_a, count_b, found = compare(one, own, same, threshold)
+                    ids = one.ids if same else np.concatenate([one.ids, own.ids])
                     links = np.concatenate([count_a, count_b]).astype(np.int64)
                     root = np.arange(len(ids))
                     forest = _reduced(found, len(ids))
@@ -258,11 +295,12 @@ def link_vectors(frame: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                     hit = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], ["rep", "links", "root"])
 
-        found = scratch(sides.repartition(F.xxhash64("left", "right")).select("right", "left", "a", "b").mapInArrow(run, "rep long, links long, root long"), "vec-links")
+        dealt = sides.repartition(4 * n_panels, "left").sortWithinPartitions("left", "right")
+        found = scratch(dealt.mapInArrow(run, "rep long, links long, root long"), "vec-links")
         drop_scratch(spark, panels)
         counts.append(found.groupBy("rep").agg(F.sum("links").alias("links")))
         edges.append(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    own = vectors.where("ok").select("vec_id", "v").join(distinct.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).select("vec_id", "rep", "copies")
+    own = vectors.where("ok").select("vec_id", "key").join(distinct.drop("v"), "key").select("vec_id", "rep", "copies")
     rest = vectors.where("not ok").select("vec_id")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id").isNotNull(), F.lit(False)).alias("kept"))
     if not counts:

@@ -123,6 +123,19 @@ def brute_vectors(rows, threshold):
     return {i: (sum(i in e for e in links), top[i]) for i in u}
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_panels_of_neighbouring_cells_meet_once(size):
+    rng = random.Random(size)
+    cells = {(rng.randrange(4), rng.randrange(4)): rng.randint(1, 12) for _ in range(12)}
+    placed, meet = embeddings.plan_panels(list(cells.items()), size)
+    panels = {tuple(c): range(first, first + parts) for c, first, parts in placed}
+    assert all(len(panels[c]) == -(-n // size) for c, n in cells.items())
+    met = [(x, y) for a, m, b, n in meet for x in range(a, a + m) for y in range(b, b + n) if x <= y]
+    assert len(met) == len(set(met))
+    near = {(x, y) for c in cells for d in cells if max(abs(i - j) for i, j in zip(c, d, strict=True)) <= 1 for x in panels[c] for y in panels[d] if x <= y}
+    assert near <= set(met)
+
+
 @pytest.mark.parametrize("tile", [8, 1024])
 def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embeddings, "TILE_ROWS", tile)
