@@ -52,8 +52,9 @@ from quantloom.llm.graph import components
 PERCENT = 80
 BANDS, BAND_ROWS = 32, 4
 SPACE_BITS = 20
-#: Largest bucket whose pairs are all compared; in larger ones, those that share a rare difference from the centre.
-SMALL = 16
+#: Largest bucket whose pairs are all compared (at most half as many for each member); in larger ones, those that share a rare difference from the
+#: centre, which costs a row for each of a member's differences. At this size both cost about the same; the result doesn't depend on it.
+SMALL = 64
 WORDS_HELD = 200_000
 SETS_HELD = 64
 

@@ -56,7 +56,7 @@ def test_near_duplicates_equal_brute_force(spark, seed, k):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in out.items())
 
 
-@pytest.mark.parametrize("small", [0, 2, 16])
+@pytest.mark.parametrize("small", [0, 2, 64])
 def test_large_buckets_equal_brute_force(spark, monkeypatch, small):
     """Chains, in which neighbours reach the threshold, others don't; copies of one text with changes of their own and shared changes."""
     monkeypatch.setattr(minhash, "SMALL", small)
