@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import special
 from quantloom.functions.fdr import adjust
+from quantloom.storage import kept
 
 
 def covariate_is_continuous(values: list, name: str) -> bool:
@@ -116,7 +117,8 @@ def lm_fit(measure: DataFrame, design: DesignMatrix, value: str = "intensity") -
     )
     whole = F.when(F.col("_n") == n, F.col("coefficients")).otherwise(F.raise_error(F.concat(F.lit("missing values in feature "), F.col("feature").cast("string"))))
     rss = F.greatest(F.lit(0.0), F.col("_yy") - F.aggregate("_qy", F.lit(0.0), lambda a, x: a + x * x))
-    return LinearModelFit(fitted.select("feature", whole.alias("coefficients"), (rss / (n - p)).alias("sigma2"), "mean"), design, inverse @ inverse.T, n - p)
+    table = fitted.select("feature", whole.alias("coefficients"), (rss / (n - p)).alias("sigma2"), "mean")
+    return LinearModelFit(kept(table), design, inverse @ inverse.T, n - p)  # prior and tests read it several times
 
 
 @dataclass(frozen=True)

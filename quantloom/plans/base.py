@@ -6,7 +6,6 @@ feature: part; sample: supplier; precursor: part x flag x status; quantity: pric
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.operators import collapse
@@ -42,18 +41,22 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), residue.alias("residue"), (F.col("p_size") % 5 + 1).cast("int").alias("multiplicity"), F.col("p_brand").alias("protein"), F.col("p_type").alias("gene"), F.col("p_size").cast("int").alias("site_position"))
 
 
+#: Samples of the matrix without gaps.
+DENSE_SAMPLES = 10
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feature (brand and half of the sizes), sample (nation of the supplier), intensity: a matrix without gaps."""
-    line, part, supplier = (table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier"))
-    own = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
-    feature, sample = F.concat("p_brand", F.lit("/"), (F.col("p_size") % 2).cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
-    sums = own.groupBy(feature.alias("feature"), sample.alias("sample")).agg(F.log2(F.sum("l_extendedprice")).alias("intensity"))
-    n = supplier.select("s_nationkey").distinct().count()  # 25 at most
-    return sums.withColumn("_n", F.count("*").over(W.partitionBy("feature"))).where(F.col("_n") == n).drop("_n")
+    """feature (part), sample (nation of the supplier modulo 10), intensity: every part, a matrix without gaps (log2 of 1 + sum)."""
+    line, supplier = (table(spark, sf_dir, n) for n in ("lineitem", "supplier"))
+    own = line.join(supplier, line.l_suppkey == supplier.s_suppkey).select(F.col("l_partkey").alias("feature"), (F.col("s_nationkey") % DENSE_SAMPLES).alias("k"), "l_extendedprice")
+    sums = own.groupBy("feature").agg(*(F.sum(F.when(F.col("k") == k, F.col("l_extendedprice"))).alias(f"_{k}") for k in range(DENSE_SAMPLES)))
+    cells = F.array(*(F.struct(F.lit(f"n{k}").alias("sample"), F.log2(1 + F.coalesce(F.col(f"_{k}"), F.lit(0.0))).alias("intensity")) for k in range(DENSE_SAMPLES)))
+    return sums.select("feature", F.inline(cells))
 
 
-def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("sample"), F.concat(F.lit("g"), (F.col("s_nationkey") % 3).cast("string")).alias("condition"), F.concat(F.lit("b"), (F.col("s_nationkey") % 2).cast("string")).alias("batch")).distinct()
+def dense_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample, condition (g0 to g2), batch (b0, b1)."""
+    return spark.createDataFrame([(f"n{k}", f"g{k % 3}", f"b{k % 2}") for k in range(DENSE_SAMPLES)], "sample string, condition string, batch string")
 
 
 def part_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +80,10 @@ measure AS (SELECT feature, sample, CASE WHEN intensity > 0 AND log2(intensity)
 SAMPLES = "samples AS (SELECT s_suppkey AS sample, 'c' || (s_nationkey % 2) AS condition FROM supplier)"
 FEATURES = """
 features AS (SELECT p_partkey AS feature, CASE p_size % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'T' ELSE 'Y' END AS residue, (p_size % 5 + 1)::INT AS multiplicity, p_brand AS protein, p_type AS gene, p_size::INT AS site_position FROM part)"""
-DENSE = """
-dense AS (SELECT p_brand || '/' || (p_size % 2) AS feature, 'n' || s_nationkey AS sample, log2(sum(l_extendedprice)) AS intensity
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2
-  QUALIFY count(*) OVER (PARTITION BY p_brand || '/' || (p_size % 2)) = (SELECT count(DISTINCT s_nationkey) FROM supplier))"""
+DENSE = f"""
+dense AS (SELECT feature, 'n' || unnest(range({DENSE_SAMPLES})) AS sample, log2(1 + unnest([{", ".join(f"coalesce(c{k}, 0)" for k in range(DENSE_SAMPLES))}])) AS intensity FROM (
+  SELECT l_partkey AS feature, {", ".join(f"sum(CASE WHEN s_nationkey % {DENSE_SAMPLES} = {k} THEN l_extendedprice END) AS c{k}" for k in range(DENSE_SAMPLES))}
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1))"""
 STATS = """
 stats AS (SELECT feature, avg(CASE WHEN condition = 'c1' THEN intensity END) - avg(CASE WHEN condition = 'c0' THEN intensity END) AS stat
   FROM measure JOIN samples USING (sample) WHERE intensity IS NOT NULL GROUP BY 1 HAVING stat IS NOT NULL)"""

@@ -342,23 +342,11 @@ def ulm_score(spark, sf_dir):
     return enrichment.kinase_activity(own, net).select("source", "n_substrates", *r6("score"))
 
 
-@query(f"""WITH {FEATURES}, d AS (SELECT protein AS p, gene AS g, residue AS r, site_position AS n FROM features WHERE feature % 3 = 0),
-q AS (SELECT DISTINCT protein, gene, residue, site_position FROM features WHERE feature % 2 = 0),
-m AS (SELECT q.*, EXISTS (SELECT 1 FROM d WHERE d.p = q.protein AND d.r = q.residue AND d.n = q.site_position) AS a, EXISTS (SELECT 1 FROM d WHERE d.g = q.gene AND d.r = q.residue AND d.n = q.site_position) AS b FROM q)
-SELECT protein || '|' || gene || '|' || residue || site_position || '|M1' AS key, CASE WHEN a THEN 'protein' ELSE 'gene' END AS tier FROM m WHERE a OR b""")
-def tiered_match(spark, sf_dir):
-    c = F.col
-    own = B.features(spark, sf_dir)
-    db = own.where("feature % 3 = 0").select(c("protein").alias("substrate_uniprot"), c("gene").alias("substrate_gene"), "residue", c("site_position").alias("position"))
-    asked = own.where("feature % 2 = 0").select(keys.full_key(c("protein"), c("gene"), c("residue"), c("site_position"), F.lit(1)).alias("key"))
-    return enrichment.match_sites(asked, db)[0].select("key", "tier")
-
-
 @query(f"""WITH {FEATURES}, n AS (SELECT p_brand AS p, p_type AS g, floor(p_retailprice)::INT % 50 + 1 AS n FROM part), d AS (SELECT *, CASE n % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'T' ELSE 'Y' END AS r FROM n),
 q AS (SELECT DISTINCT protein, gene, residue, site_position FROM features),
 m AS (SELECT q.*, EXISTS (SELECT 1 FROM d WHERE d.p = q.protein AND d.r = q.residue AND d.n = q.site_position) AS a, EXISTS (SELECT 1 FROM d WHERE d.g = q.gene AND d.r = q.residue AND d.n = q.site_position) AS b FROM q)
 SELECT protein || '|' || gene || '|' || residue || site_position || '|M1' AS key, CASE WHEN a THEN 'protein' ELSE 'gene' END AS tier FROM m WHERE a OR b""")
-def tiered_match_whole(spark, sf_dir):
+def tiered_match(spark, sf_dir):
     """All features against a database of all parts, whose positions are another column: the price in whole units, modulo 50."""
     c = F.col
     position = (F.floor("p_retailprice") % 50 + 1).cast("int")
@@ -376,50 +364,31 @@ def sample_distance(spark, sf_dir):
     return dimred.sample_distance(B.dense(spark, sf_dir)).select("sample_a", "sample_b", "n_shared", *r6("distance"))
 
 
-@query("""WITH e AS (SELECT vec_id AS feature, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS score FROM embeddings), s AS (SELECT feature, 'k' || k AS kinase, score FROM e WHERE k < 12)
-SELECT a.kinase AS source, b.kinase AS target, count(*) AS n, round(corr(a.score, b.score), 6) AS r FROM s a JOIN s b ON a.feature = b.feature AND a.kinase < b.kinase GROUP BY 1, 2""")
-def kinase_network(spark, sf_dir):
-    return signalome.kinase_network(_scores(spark, sf_dir), 0.2)[2].select("source", "target", "n", *r6("r"))
-
-
 _ALL_SCORES = "s AS (SELECT vec_id AS feature, 'k' || (unnest(range(len(embedding)))) AS kinase, unnest(embedding)::DOUBLE AS score FROM embeddings)"
 
 
 @query(f"WITH {_ALL_SCORES} SELECT a.kinase AS source, b.kinase AS target, count(*) AS n, round(corr(a.score, b.score), 6) AS r FROM s a JOIN s b ON a.feature = b.feature AND a.kinase < b.kinase GROUP BY 1, 2")
-def kinase_network_whole(spark, sf_dir):
-    return signalome.kinase_network(_scores(spark, sf_dir, None), 0.2)[2].select("source", "target", "n", *r6("r"))
+def kinase_network(spark, sf_dir):
+    return signalome.kinase_network(_scores(spark, sf_dir), 0.2)[2].select("source", "target", "n", *r6("r"))
 
 
-def _scores(spark, sf_dir, k: int | None = 12):
-    """The first k components of every vector, as the SQL has them; all of them if k is None."""
-    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode("embedding" if k is None else F.slice("embedding", 1, k)).alias("k", "score"))
+def _scores(spark, sf_dir):
+    """Every component of every vector."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode("embedding").alias("k", "score"))
     return own.select("feature", F.concat(F.lit("k"), F.col("k").cast("string")).alias("kinase"), F.col("score").cast("double").alias("score"))
 
 
-@query("""WITH e AS (SELECT vec_id AS feature, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS score FROM embeddings),
-r AS (SELECT feature, 'k' || k AS kinase, score, row_number() OVER (PARTITION BY feature ORDER BY score DESC, 'k' || k) AS rank FROM e WHERE k < 12) SELECT feature, kinase, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3""")
+@query(f"WITH {_ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, kinase) AS rank FROM s) SELECT feature, kinase, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3")
 def topk_per_site(spark, sf_dir):
     return enrichment.top_k(_scores(spark, sf_dir), "feature", "score", 3, "kinase").select("feature", "kinase", *r6("score"), "rank")
 
 
-@query(f"WITH {_ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, kinase) AS rank FROM s) SELECT feature, kinase, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3")
-def topk_per_site_whole(spark, sf_dir):
-    return enrichment.top_k(_scores(spark, sf_dir, None), "feature", "score", 3, "kinase").select("feature", "kinase", *r6("score"), "rank")
-
-
-@query("""WITH e AS (SELECT vec_id AS feature, 'p' || (vec_id % 37) AS protein, 'm' || (vec_id % 5) AS module, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS score FROM embeddings),
-c AS (SELECT module, 'k' || k AS kinase, count(DISTINCT protein)::DOUBLE AS amount FROM e WHERE k < 12 AND score > 0.1 GROUP BY 1, 2)
+@query(f"""WITH {_ALL_SCORES}, c AS (SELECT 'm' || (feature % 5) AS module, kinase, count(DISTINCT 'p' || (feature % 37))::DOUBLE AS amount FROM s WHERE score > 0.1 GROUP BY 1, 2)
 SELECT module, kinase, amount, round(100 * amount / sum(amount) OVER (PARTITION BY module), 6) AS percent FROM c""")
 def module_table(spark, sf_dir):
     return _module_table(_scores(spark, sf_dir))
 
 
-@query(f"""WITH {_ALL_SCORES}, c AS (SELECT 'm' || (feature % 5) AS module, kinase, count(DISTINCT 'p' || (feature % 37))::DOUBLE AS amount FROM s WHERE score > 0.1 GROUP BY 1, 2)
-SELECT module, kinase, amount, round(100 * amount / sum(amount) OVER (PARTITION BY module), 6) AS percent FROM c""")
-def module_table_whole(spark, sf_dir):
-    return _module_table(_scores(spark, sf_dir, None))
-
-
 def _module_table(scores):
     sites = scores.select("feature").distinct().select("feature", F.concat(F.lit("p"), (F.col("feature") % 37).cast("string")).alias("protein"), F.concat(F.lit("m"), (F.col("feature") % 5).cast("string")).alias("module"))
     out = signalome.module_table(sites, signalome.kinase_substrates(scores, 0.1))
@@ -444,21 +413,10 @@ def phospho_windows(spark, sf_dir):
     return sequences.phospho_windows(_proteins(spark, sf_dir)).select("uniprot", "position", "residue", "window")
 
 
-@query(f"""WITH {_WINDOWS}, u AS (SELECT DISTINCT w FROM w), q AS (SELECT DISTINCT w FROM w WHERE substr(uniprot, 2)::INT % 50 = 0)
-SELECT q.w AS query, u.w AS hit, (SELECT count(*) FROM range(1, 16) t(i) WHERE substr(q.w, i, 1) <> substr(u.w, i, 1))::INT AS mismatches FROM q JOIN u ON (substr(q.w, 8, 1) = 'Y') = (substr(u.w, 8, 1) = 'Y')
-  AND (SELECT count(*) FROM range(1, 16) t(i) WHERE substr(q.w, i, 1) <> substr(u.w, i, 1)) <= 2""")
-def hamming_join(spark, sf_dir):
-    own = sequences.phospho_windows(_proteins(spark, sf_dir))
-    asked = own.where(F.substr("uniprot", F.lit(2)).cast("int") % 50 == 0).select(F.col("window").alias("query"), "window").distinct()
-    index = own.groupBy("window").agg(*(F.min(c).alias(c) for c in ("uniprot", "gene", "position", "residue", "reviewed")))
-    return sequences.fuzzy_join(asked, index).select("query", F.col("tw").alias("hit"), "mismatches")
-
-
 @query(f"""WITH {_WINDOWS}, u AS (SELECT DISTINCT w FROM w)
 SELECT q.w AS query, u.w AS hit, (SELECT count(*) FROM range(1, 16) t(i) WHERE substr(q.w, i, 1) <> substr(u.w, i, 1))::INT AS mismatches FROM u q JOIN u ON (substr(q.w, 8, 1) = 'Y') = (substr(u.w, 8, 1) = 'Y')
   AND (SELECT count(*) FROM range(1, 16) t(i) WHERE substr(q.w, i, 1) <> substr(u.w, i, 1)) <= 2""")
-def hamming_join_whole(spark, sf_dir):
-    """The windows of all proteins as queries; hamming_join and its SQL ask those of every fiftieth."""
+def hamming_join(spark, sf_dir):
     own = sequences.phospho_windows(_proteins(spark, sf_dir))
     index = own.groupBy("window").agg(*(F.min(c).alias(c) for c in ("uniprot", "gene", "position", "residue", "reviewed")))
     asked = index.select(F.col("window").alias("query"), "window")
@@ -479,34 +437,34 @@ def qvalue_decoy(spark, sf_dir):
 @query(f"""WITH {DENSE}, g AS (SELECT feature, avg(intensity) FILTER (WHERE substr(sample, 2)::INT % 3 = 1) - avg(intensity) FILTER (WHERE substr(sample, 2)::INT % 3 = 0) AS lfc, avg(intensity) AS m FROM dense GROUP BY 1)
 SELECT feature, round(lfc, 6) AS log2fc, round(m, 6) AS ave_expr FROM g""")
 def limma_contrast(spark, sf_dir):
-    return stats.diff_exp_contrasts(B.dense(spark, sf_dir), B.nations(spark, sf_dir), [("g1", "g0")]).select("feature", *r6("log2fc", "ave_expr"))
+    return stats.diff_exp_contrasts(B.dense(spark, sf_dir), B.dense_samples(spark, sf_dir), [("g1", "g0")]).select("feature", *r6("log2fc", "ave_expr"))
 
 
 @query()
 def limma_moderated_t(spark, sf_dir):
-    return stats.diff_exp_contrasts(B.dense(spark, sf_dir), B.nations(spark, sf_dir), [("g1", "g0"), ("g2", "g0")])
+    return stats.diff_exp_contrasts(B.dense(spark, sf_dir), B.dense_samples(spark, sf_dir), [("g1", "g0"), ("g2", "g0")])
 
 
 @query()
 def anova_moderated_f(spark, sf_dir):
-    return stats.diff_exp_anova(B.dense(spark, sf_dir), B.nations(spark, sf_dir))
+    return stats.diff_exp_anova(B.dense(spark, sf_dir), B.dense_samples(spark, sf_dir))
 
 
 @query()
 def impute_knn(spark, sf_dir):
     own = B.dense(spark, sf_dir).withColumn("intensity", F.when(F.crc32(F.concat("feature", "sample").cast("binary")) % 5 != 0, F.col("intensity")))
-    return impute.impute_knn(own, B.nations(spark, sf_dir))
+    return impute.impute_knn(own, B.dense_samples(spark, sf_dir))
 
 
 @query()
 def impute_hybrid(spark, sf_dir):
     own = B.dense(spark, sf_dir).withColumn("intensity", F.when(F.crc32(F.concat("feature", "sample").cast("binary")) % 5 != 0, F.col("intensity")))
-    return impute.impute_hybrid(own, B.nations(spark, sf_dir))
+    return impute.impute_hybrid(own, B.dense_samples(spark, sf_dir))
 
 
 @query()
 def batch_combat(spark, sf_dir):
-    return impute.combat(B.dense(spark, sf_dir), B.nations(spark, sf_dir))
+    return impute.combat(B.dense(spark, sf_dir), B.dense_samples(spark, sf_dir))
 
 
 @query()
@@ -533,4 +491,4 @@ def wilson_bounds(spark, sf_dir):
 
 @query()
 def signalome_clusters(spark, sf_dir):
-    return signalome.cluster_sites(_scores(spark, sf_dir, None))
+    return signalome.cluster_sites(_scores(spark, sf_dir))

@@ -235,7 +235,7 @@ def test_dose_response(spark):
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
 
-def test_hamming_join_whole_equals_brute_force(spark, tmp_path):
+def test_hamming_join_equals_brute_force(spark, tmp_path):
     """Accessions of every remainder are asked."""
     names = ["steel toy ring", "steel tay ring", "steal tay rung", "mossy yarn", "messy yarn", "t", "olive stone"]
     spark.createDataFrame([(i + 1, n, "b", "TYPE", 1, 1.0) for i, n in enumerate(names)], PARTS).write.parquet(f"{tmp_path}/part.parquet")
@@ -244,30 +244,30 @@ def test_hamming_join_whole_equals_brute_force(spark, tmp_path):
     differ = {(a, b): sum(x != y for x, y in zip(a, b, strict=True)) for a in windows for b in windows if (a[7] == "Y") == (b[7] == "Y")}
     brute = sorted((a, b, d) for (a, b), d in differ.items() if d <= 2)
     assert any(d for _, _, d in brute)
-    assert sorted(map(tuple, queries.hamming_join_whole(spark, str(tmp_path)).collect())) == brute
+    assert sorted(map(tuple, queries.hamming_join(spark, str(tmp_path)).collect())) == brute
 
 
 def test_kinase_queries_take_all_components(spark, tmp_path):
     """What tells the sites apart lies behind the twelfth component."""
     rows = [(i, [0.01 * ((i + k * k) % 5) for k in range(13)] + [0.9 if i < 4 else 0.0, 0.8 if i < 4 else 0.1, 0.0 if i < 4 else 0.7]) for i in range(8)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    met = {(r["source"], r["target"]): r["r"] for r in queries.kinase_network_whole(spark, str(tmp_path)).collect()}
+    met = {(r["source"], r["target"]): r["r"] for r in queries.kinase_network(spark, str(tmp_path)).collect()}
     assert len(met) == 16 * 15 // 2 and met["k13", "k15"] == pytest.approx(-1)
-    best = {(r["feature"], r["rank"]): r["kinase"] for r in queries.topk_per_site_whole(spark, str(tmp_path)).collect()}
+    best = {(r["feature"], r["rank"]): r["kinase"] for r in queries.topk_per_site(spark, str(tmp_path)).collect()}
     assert [best[0, 1], best[0, 2], best[7, 1], best[7, 2]] == ["k13", "k14", "k15", "k14"]
-    assert {r["kinase"] for r in queries.module_table_whole(spark, str(tmp_path)).collect()} == {"k13", "k14", "k15"}
+    assert {r["kinase"] for r in queries.module_table(spark, str(tmp_path)).collect()} == {"k13", "k14", "k15"}
     labels = {r["feature"]: r["cluster"] for r in queries.signalome_clusters(spark, str(tmp_path)).collect()}
     assert not {labels[i] for i in range(4)} & {labels[i] for i in range(4, 8)}
 
 
-def test_tiered_match_whole_asks_every_feature(spark, tmp_path):
+def test_tiered_match_asks_every_feature(spark, tmp_path):
     """The database's positions come from the price; parts of every remainder are asked and matched."""
     rows = [(k, "n", f"B{k % 3}", f"T{k // 5}", 3 + k, 902.0 + (k + 1) // 2) for k in range(1, 13)]
     spark.createDataFrame(rows, PARTS).write.parquet(f"{tmp_path}/part.parquet")
     proteins, genes = {(r[2], int(r[5]) % 50 + 1) for r in rows}, {(r[3], int(r[5]) % 50 + 1) for r in rows}
     tiers = {f"{b}|{t}|{'STY'[n % 3]}{n}|M1": "protein" if (b, n) in proteins else "gene" if (t, n) in genes else None for _, _, b, t, n, _ in rows}
     assert set(tiers.values()) == {"protein", "gene", None}
-    assert {r["key"]: r["tier"] for r in queries.tiered_match_whole(spark, str(tmp_path)).collect()} == {k: t for k, t in tiers.items() if t}
+    assert {r["key"]: r["tier"] for r in queries.tiered_match(spark, str(tmp_path)).collect()} == {k: t for k, t in tiers.items() if t}
 
 
 def test_ward_tree_equals_linkage():
