@@ -2,18 +2,21 @@
 
 1. Texts are cut into pre-tokens, a block of documents at a time. A block's distinct pre-tokens are
    numbered; each document keeps its sequence of numbers, which are the positions of its pre-tokens.
-2. The pre-tokens are exploded to rows (block, number, word); a word that a block holds a thousand times is
-   one row of it. Their distinct words are dealt out evenly and each is encoded once, by merging the pair
-   of lowest rank until none is left.
-3. Decoding joins the token-byte table: the ids of every distinct word are exploded, joined to the table
-   (as many rows as the vocabulary has ranks, 50,256 here: broadcast) and put together by position.
-4. Ids and bytes of the distinct words are joined back to the rows, which are gathered by block, and the
-   documents are reassembled by position, ids and bytes alike.
-
-Blocks are bounded by text and documents, so no group grows with the table; a very common word is one row
-per block, joined to one row that was written before (adaptive execution can split the other side). The
-tasks that encode grow in number with the distinct words. Tables between the steps lie in the shared
-folder, so a lost executor doesn't cost the tokenisation.
+   Words are numbered part by part: a part holds the words of one hash class.
+2. The parts of all blocks are exploded and dealt out by hash class, so equal words of all blocks meet in
+   one task, and each distinct word is encoded once there, by merging the pair of lowest rank until none
+   is left. A part's ids go back in the order of its words. (One row per word instead of one per part is
+   the same shuffle, but 4 times as many bytes on the corpus that was measured; see the README.)
+3. Parts are gathered by block and joined to the block's documents, which put ids together by position.
+   Decoding joins the token-byte table to the blocks, nested to one row per vocabulary (50,256 tokens here,
+   about half a megabyte: broadcast), and puts the bytes of the ids together. decode_ids() does it row by
+   row for any table of ids.
+
+Blocks are written bucketed by their name to the shared folder, so the documents are not shuffled at all
+and a lost executor doesn't cost the tokenisation. Blocks are bounded by text and documents, parts by
+blocks, so no group grows with the table; a very common word is one entry per block. Classes and buckets
+grow with the partitions of the input. A worker remembers at most WORDS_HELD words (then it starts anew),
+which bounds its memory. The result is written to the shared folder too, and the blocks are dropped then.
 
 Defined results: a null text is the empty text, which has no ids; repeated rows give repeated results;
 an empty table gives an empty table; other columns of the input are not read. A null array of ids
@@ -26,6 +29,7 @@ import base64
 import hashlib
 import heapq
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +37,16 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import drop_scratch, read_table, scratch, texts
+from quantloom.llm.common import drop_path, own_scratch, read_table, scratch, shared_dir, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block of documents ends at this many characters of text or documents.
 BLOCK_CHARS, BLOCK_DOCS = 8 << 20, 8192
-#: Distinct words that one task encodes; from how many bytes on a word's merges are kept in a heap.
-TASK_WORDS, LONG_WORD = 20_000, 40
+#: Hash classes for each bucket; fewest and most buckets; words that a worker remembers; from how many bytes on a word's merges are kept in a heap.
+CLASSES, BUCKETS, WORDS_HELD, LONG_WORD = 4, (64, 4096), 1_000_000, 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -146,11 +150,22 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-SPLIT = "block long, doc_ids binary, null_ids binary, sizes binary, places binary, words array<binary>"
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, words), "<u4", len(words))
+    return len(words).to_bytes(4, "little") + zstandard.compress(lengths.tobytes() + b"".join(words), 3)
 
 
-def split_blocks(frame: DataFrame, pattern: str) -> DataFrame:
-    """One row per block: its distinct words, and for each document the numbers of its pre-tokens in order."""
+def unpack_words(data: bytes) -> list[bytes]:
+    n, raw = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:])
+    ends = (4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=False)]
+
+
+SPLIT = "block long, doc_ids binary, null_ids binary, sizes binary, places binary, parts array<binary>"
+
+
+def split_blocks(frame: DataFrame, pattern: str, parts: int) -> DataFrame:
+    """One row per block: the words of its parts, and for each document the numbers of its pre-tokens in order."""
 
     def run(batches):
         find, names = regex.compile(pattern).findall, [x.split()[0] for x in SPLIT.split(", ")]
@@ -159,26 +174,51 @@ def split_blocks(frame: DataFrame, pattern: str) -> DataFrame:
             for _, text in rows:
                 own = find(text or "")
                 found.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
+            words = [w.encode() for w in numbers]
+            classes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % parts
+            order = np.argsort(classes, kind="stable")
+            renumbered = np.empty(len(words), np.uint32)
+            renumbered[order] = np.arange(len(words), dtype=np.uint32)
+            cuts = np.searchsorted(classes[order], np.arange(parts + 1)).tolist()
+            listed = order.tolist()
+            packed = [pack_words([words[i] for i in listed[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
             ids = np.array([r[0] or 0 for r in rows], np.int64)
             nulls = bytes(r[0] is None for r in rows)
             block = int.from_bytes(uuid.uuid4().bytes[:8], "little", signed=True)  # written once, then fixed
-            cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in found])), pack(np.concatenate(found))
-            words = pa.array([[w.encode() for w in numbers]], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cells), words], names)
+            places = renumbered[np.concatenate(found)] if words else np.zeros(0, np.uint32)
+            cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in found])), pack(places)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cells), pa.array([packed], pa.list_(pa.binary()))], names)
 
     return texts(frame).mapInArrow(run, SPLIT)
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word (distinct) -> word, ids."""
+def _bucketed(blocks: DataFrame, buckets: int) -> tuple[str, str]:
+    """(table, path), written once, bucketed by block: later joins on block leave it where it is."""
+    spark = blocks.sparkSession
+    name = f"ql_bpe_blocks_{uuid.uuid4().hex}"
+    path = own_scratch(spark, f"{shared_dir(spark)}/{name}")
+    blocks.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    return name, path
+
+
+def encode_parts(parts: DataFrame, path: str, classes: int) -> DataFrame:
+    """block, part, words -> block, part, n, ids: the number of words; packed, how many ids each has and then the ids."""
 
     def run(batches):
-        encode = Merger.of(path).encode
+        own, held = Merger.of(path), {}
         for batch in batches:
-            ids = [encode(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for k in range(batch.num_rows):
+                words = unpack_words(batch.column(2)[k].as_py())
+                if len(held) > WORDS_HELD:
+                    held.clear()
+                for word in words:
+                    if word not in held:
+                        held[word] = own.encode(word)
+                lists = [held[word] for word in words]
+                numbers = [len(x) for x in lists] + [i for x in lists for i in x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(words)], pa.int32()), pa.array([pack(np.array(numbers))], pa.binary())], ["block", "part", "n", "ids"])
 
-    return words.select("word").repartition(max(1, -(-words.count() // TASK_WORDS))).mapInArrow(run, "word binary, ids array<int>")
+    return parts.select("block", "part", "words").repartition(classes, "part").mapInArrow(run, "block long, part int, n int, ids binary")
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -187,27 +227,27 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "token": pa.array(list(ranks), pa.binary())}))
 
 
-def _decoded(frame: DataFrame, key: str, ids: str, tokens: DataFrame) -> DataFrame:
-    """key, cells (at, id, hex of the token): explodes the ids and joins the token-byte table."""
-    parts = frame.select(F.col(key).alias("_key"), F.posexplode_outer(ids).alias("_at", "_id"))
-    joined = parts.join(F.broadcast(tokens.select(F.col("id").alias("_id"), F.hex("token").alias("_hex"))), "_id", "left")  # as many rows as ranks
-    checked = F.when(F.col("_id").isNotNull() & F.col("_hex").isNull(), F.raise_error(F.lit("an id is not in the token table"))).otherwise(F.col("_hex"))
-    return joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_id", checked.alias("_hex")))).alias("cells"))
-
-
-def _bytes(cells: Column) -> Column:
-    """Hex digits stand for the bytes while they are concatenated."""
-    return F.unhex(F.array_join(F.transform(cells, lambda c: F.coalesce(c["_hex"], F.lit(""))), ""))
+def nested_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """vocabulary (its path), tokens: the bytes of all ids in the order of ids; null where an id is free."""
+    ranks = load_ranks(path)
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return spark.createDataFrame(pa.table({"vocabulary": [path], "tokens": pa.array([tokens], pa.list_(pa.binary()))}))
 
 
 def decode_ids(frame: DataFrame, key: str, ids: str, tokens: DataFrame) -> DataFrame:
-    """key, decoded (binary): the bytes of the ids, by the token-byte table. Keys must be distinct."""
-    return _decoded(frame, key, ids, tokens).select(F.col("_key").alias(key), _bytes(F.col("cells")).alias("decoded"))
-
+    """key, decoded (binary): explodes the ids, joins the token-byte table, reassembles by position.
 
-def decode_words(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
-    """word, ids -> word, ids, decoded: what the table has for the ids of each distinct word."""
-    return _decoded(encoded, "word", "ids", tokens).select(F.col("_key").alias("word"), F.transform("cells", lambda c: c["_id"]).alias("ids"), _bytes(F.col("cells")).alias("decoded"))
+    Keys must be distinct. Hex digits stand for the bytes while they are concatenated.
+    """
+    parts = frame.select(F.col(key).alias("_key"), F.posexplode_outer(ids).alias("_at", "_id"))
+    joined = parts.join(F.broadcast(tokens.select(F.col("id").alias("_id"), F.hex("token").alias("_hex"))), "_id", "left")  # as many rows as ranks
+    checked = F.when(F.col("_id").isNotNull() & F.col("_hex").isNull(), F.raise_error(F.lit("an id is not in the token table"))).otherwise(F.col("_hex"))
+    cells = F.array_sort(F.collect_list(F.struct("_at", checked.alias("_hex"))))
+    return joined.groupBy("_key").agg(cells.alias("_cells")).select(
+        F.col("_key").alias(key), F.unhex(F.array_join(F.transform("_cells", lambda c: F.coalesce(c["_hex"], F.lit(""))), "")).alias("decoded")
+    )
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
@@ -215,16 +255,18 @@ _ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("
 
 
 class _Dictionary:
-    """Ids and bytes of a block's words, by their numbers."""
-
-    def __init__(self, cells: pa.StructArray):
-        order = np.argsort(cells.field("number").to_numpy(zero_copy_only=False))
-        lists, decoded = cells.field("ids").take(pa.array(order)), cells.field("decoded").take(pa.array(order))
-        self.counts, self.flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    """The ids of a block's words, by their numbers."""
+
+    def __init__(self, cells: list[dict]):
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cell in cells:  # in the order of parts
+            numbers = unpack(cell["ids"]).astype(np.int64)
+            counts.append(numbers[: cell["n"]])
+            flat.append(numbers[cell["n"] :])
+        self.counts, self.flat = np.concatenate(counts), np.concatenate(flat)
         self.starts = np.cumsum(self.counts) - self.counts
         ids = list(map(str, self.flat.tolist()))
         self.written = [",".join(ids[a : a + n]) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
-        self.decoded = decoded.to_pylist()
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         size = self.counts[places]
@@ -233,7 +275,7 @@ class _Dictionary:
 
 
 def _reassemble(with_ids: bool):
-    """Documents of blocks that stand beside the cells of their words."""
+    """Documents of blocks that stand beside the cells of their words and the bytes of all tokens."""
     schema = _ENCODED_ARROW if with_ids else pa.schema(list(_ENCODED_ARROW)[:4])
 
     def batch_of(rows: list[tuple], arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -244,20 +286,22 @@ def _reassemble(with_ids: bool):
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
+        known, token = None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                ids_bytes, nulls, sizes, packed = (batch.column(c)[k].as_py() for c in ("doc_ids", "null_ids", "sizes", "places"))
-                cells = batch.column("cells")[k].values
-                words = _Dictionary(cells) if cells is not None else None
+                name = batch.column("vocabulary")[k].as_py()
+                if name != known:  # one row per vocabulary: the same table beside every block
+                    known, token = name, batch.column("tokens")[k].as_py().__getitem__
+                ids_bytes, nulls, sizes, packed, cells = (batch.column(c)[k].as_py() for c in ("doc_ids", "null_ids", "sizes", "places", "cells"))
+                words = _Dictionary(cells or [])
                 places, rows, arrays, start = unpack(packed).astype(np.int64), [], [], 0
                 for doc_id, null, size in zip(np.frombuffer(ids_bytes, np.int64).tolist(), nulls, unpack(sizes).tolist(), strict=True):
                     at = places[start : start + size]
                     start += size
-                    listed = at.tolist()
-                    ids = words.ids(at) if size else at
-                    written = ",".join(map(words.written.__getitem__, listed)) if size else ""
-                    decoded = b"".join(map(words.decoded.__getitem__, listed)) if size else b""
-                    rows.append((None if null else doc_id, len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                    ids = words.ids(at)
+                    listed = ",".join(map(words.written.__getitem__, at.tolist()))
+                    decoded = b"".join(map(token, ids.tolist()))
+                    rows.append((None if null else doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                     arrays.append(ids if with_ids else ids[:0])
                     if len(rows) == 512:
                         yield batch_of(rows, arrays)
@@ -271,14 +315,18 @@ def _reassemble(with_ids: bool):
 def encode_documents(frame: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each document."""
     path, spark = path or public_tokenizers.path(VOCABULARY), frame.sparkSession
-    blocks = scratch(split_blocks(frame, pattern), "bpe-blocks")
-    held = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    words = scratch(held.select("word").distinct(), "bpe-words")
-    coded = scratch(decode_words(encode_words(words, path), token_table(spark, path)), "bpe-coded")
-    drop_scratch(spark, words)
-    cells = held.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("number", "ids", "decoded")).alias("cells"))
-    both = blocks.drop("words").join(cells, "block", "left")
-    return both.mapInArrow(_reassemble(with_ids), ENCODED if with_ids else ENCODED.rpartition(",")[0])
+    buckets = min(BUCKETS[1], max(BUCKETS[0], frame.rdd.getNumPartitions()))
+    name, place = _bucketed(split_blocks(frame, pattern, CLASSES * buckets), buckets)
+    blocks = spark.table(name)
+    parts = blocks.select("block", F.posexplode("parts").alias("part", "words"))
+    encoded = encode_parts(parts, path, buckets).repartition(buckets, "block")  # where the bucketed blocks are
+    cells = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n", "ids"))).alias("cells"))
+    both = blocks.drop("parts").join(cells, "block", "left").withColumn("vocabulary", F.lit(path))
+    both = both.join(F.broadcast(nested_tokens(spark, path)), "vocabulary")
+    out = scratch(both.mapInArrow(_reassemble(with_ids), ENCODED if with_ids else ENCODED.rpartition(",")[0]), "bpe-encoded")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, place)
+    return out
 
 
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (local tests only)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session whose executors are threads of the driver gets one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,12 +44,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    if _scratch.pop(path, None) is not None:
+        _delete(spark, path)
+
+
 def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
     """Removes tables that scratch() wrote and that no later plan reads."""
     for frame in frames:
-        path = getattr(frame, "_scratch_path", None)
-        if path and _scratch.pop(path, None) is not None:
-            _delete(spark, path)
+        if path := getattr(frame, "_scratch_path", None):
+            drop_path(spark, path)
 
 
 @atexit.register
