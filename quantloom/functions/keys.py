@@ -77,7 +77,8 @@ def gene_of(key: Column, gene: Column | None = None) -> Column:
 def site_label(key: Column) -> Column:
     """`AKT1 S473` for plots."""
     parsed = parse_key(key)
-    return F.coalesce(F.concat_ws(" ", F.when(parsed["gene"] != "", parsed["gene"]).otherwise(parsed["protein"]), F.concat(parsed["residue"], parsed["position"].cast("string"))), key)
+    label = F.concat(F.when(parsed["gene"] != "", parsed["gene"]).otherwise(parsed["protein"]), F.lit(" "), parsed["residue"], parsed["position"].cast("string"))
+    return F.coalesce(label, key)
 
 
 def _members(group: Column) -> Column:

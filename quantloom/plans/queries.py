@@ -484,11 +484,6 @@ def ward_order(spark, sf_dir):
     return spark.createDataFrame([(i, s) for i, s in enumerate(order)], "place int, sample string")
 
 
-@query()
-def wilson_bounds(spark, sf_dir):
-    return masks.with_wilson_bound(collapse.site_qc(B.measure(spark, sf_dir))).select("feature", "n_class1_samples", "n_samples_detected", "class1_wilson_lb")
-
-
 @query()
 def signalome_clusters(spark, sf_dir):
     return signalome.cluster_sites(_scores(spark, sf_dir))
