@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +38,20 @@ def modifications(precursor: Column) -> Column:
     return F.regexp_extract_all(base_sequence(precursor), F.lit(r"\[([^\]]+)\]"), F.lit(1))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside a lambda an expression is computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ends(segments: Column) -> Column:
     """The summed lengths of the first 1, 2, ... segments, without the last."""
-    n = F.size(segments) - 1
-    ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice(segments, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)))
-    return F.when(n > 0, ends)
+
+    def running(own: Column) -> Column:
+        lengths = F.slice(F.transform(own, F.length), F.lit(1), F.greatest(F.size(own) - 1, F.lit(0)))
+        zero = F.array().cast("array<int>")
+        return F.aggregate(lengths, zero, lambda upto, n: F.concat(upto, F.array(F.coalesce(F.try_element_at(upto, F.lit(-1)), F.lit(0)) + n)))
+
+    return _let(segments, lambda own: F.when(F.size(own) > 1, running(own)))
 
 
 def phospho_positions(precursor: Column) -> Column:
@@ -59,14 +70,19 @@ def localization(loc_string: Column) -> Column:
 
     Letters before a bracket are counted; a bracket that is never closed ends the string.
     """
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(loc_string, r"^[_.* ]+|[_.* ]+$", ""), _OTHER_BRACKET, ""), r"\[[^\]]*$", "")
-    letters = F.transform(F.split(s, r"\[Phospho \(STY\)[^\]]*\]"), lambda x: F.regexp_replace(x, r"[^\p{L}]", ""))
-    ends = F.coalesce(_ends(letters), F.array().cast("array<int>"))
-    brackets = F.regexp_extract_all(s, F.lit(r"\[(Phospho \(STY\)[^\]]*)\]"), F.lit(1))
-    probs = F.transform(brackets, lambda b: F.try_divide(F.regexp_extract(b, r":\s*([\d.]+)%", 1).try_cast("double"), F.lit(100.0)))
-    named = F.zip_with(ends, probs, lambda e, p: F.struct(e.alias("pos"), p.alias("prob")))
-    named = F.filter(named, lambda c: c["prob"].isNotNull())
-    return F.filter(named, lambda c, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda d: d["pos"] == c["pos"]))
+    trimmed = F.regexp_replace(F.regexp_replace(F.regexp_replace(loc_string, r"^[_.* ]+|[_.* ]+$", ""), _OTHER_BRACKET, ""), r"\[[^\]]*$", "")
+
+    def cells(s: Column) -> Column:
+        letters = F.transform(F.split(s, r"\[Phospho \(STY\)[^\]]*\]"), lambda x: F.regexp_replace(x, r"[^\p{L}]", ""))
+        ends = F.coalesce(_ends(letters), F.array().cast("array<int>"))
+        brackets = F.regexp_extract_all(s, F.lit(r"\[(Phospho \(STY\)[^\]]*)\]"), F.lit(1))
+        probs = F.transform(brackets, lambda b: F.try_divide(F.regexp_extract(b, r":\s*([\d.]+)%", 1).try_cast("double"), F.lit(100.0)))
+        return F.filter(F.zip_with(ends, probs, lambda e, p: F.struct(e.alias("pos"), p.alias("prob"))), lambda c: c["prob"].isNotNull())
+
+    def last(named: Column) -> Column:
+        return F.filter(named, lambda c, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda d: d["pos"] == c["pos"]))
+
+    return _let(_let(trimmed, cells), last)
 
 
 def loc_at(cells: Column, position: Column) -> Column:

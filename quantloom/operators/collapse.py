@@ -15,6 +15,7 @@ from quantloom.operators import masks
 from quantloom.schema import (
     ASSAY_PROB, CHANNEL_JOIN, GENES, LOC_PROBS, POSITION, PRECURSOR, PROTEINS, RESIDUES, SAMPLE, CollapseSettings, PrecursorSettings, resolve_quant_column,
 )
+from quantloom.storage import kept
 
 
 def fold_channels(psm: DataFrame, channel: str = "Channel") -> DataFrame:
@@ -174,7 +175,7 @@ def collapse_sites(psm: DataFrame, samples: DataFrame | None = None, advanced: d
         filtered = psm.where(P.is_top_n(F.col(f"`{PRECURSOR}`"), F.col(f"`{LOC_PROBS}`")))
     else:
         filtered = psm
-    cells = site_precursors(explode_sites(prepare(filtered, quant)))
+    cells = kept(site_precursors(explode_sites(prepare(filtered, quant))))  # parsed once: sites and their metadata both read it
     gate = (s.class1_cutoff if s.strategy == "condition" else s.cutoff) if s.precursor_gate else None
     sites = aggregate_sites(cells, s.aggregation, gate).withColumnRenamed("quant", "intensity")
     found = psm.select(F.col(f"`{SAMPLE}`").alias("sample")).distinct()
@@ -188,6 +189,7 @@ def collapse_sites(psm: DataFrame, samples: DataFrame | None = None, advanced: d
     sites = sites.withColumn("intensity", log2_intensity(F.col("intensity"), s.noise_floor))
     if s.drop_all_missing and s.strategy != "global_max":
         sites = masks.drop_missing_features(sites)
+    sites = kept(sites)
     meta = cells.groupBy("feature", "protein_group_id", "gene", "residue", "site_position", "multiplicity").agg(F.min("marked").alias("marked_sequence"), F.bool_or("is_contaminant").alias("is_contaminant"))
     key = (F.col("residue"), F.col("site_position"), F.col("multiplicity"))
     meta = meta.withColumn("full_key", F.col("feature")).withColumn("short_key", keys.short_key(F.col("gene"), *key)).withColumn("pg_key", keys.pg_key(F.col("protein_group_id"), *key))
