@@ -12,12 +12,34 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import keys, special
 from quantloom.functions.fdr import adjust
+from quantloom.functions.order import placed
+from quantloom.storage import kept
 
+#: The longest ranked list of which gsea() sends a number per feature to every executor (160 MB).
+MAX_RANKED = 20_000_000
+# The columns of the PTM table, and the sets that are made from it with their descriptions.
 PTM_DB_COLUMNS = (
     "substrate_gene", "substrate_uniprot", "residue", "position", "modification", "enzyme_gene", "enzyme_uniprot", "effect", "effect_canonical", "ADB_disease_variant",
     "Ochoa_functional_score", "curation_confidence", "is_curated", "chemistry_warning_flag",
 )
 
+EFFECTS = {
+    "activates_activity": "Phosphosite whose modification up-regulates the substrate's activity.",
+    "inhibits_activity": "Phosphosite whose modification down-regulates the substrate's activity.",
+    "induces_ppi": "Phosphosite whose modification enhances a protein-protein interaction.",
+    "disrupts_ppi": "Phosphosite whose modification disrupts a protein-protein interaction.",
+    "alters_stability": "Phosphosite whose modification alters substrate stability.",
+}
+VARIANTS = {
+    "clinvar_site": (("clinvar",), "Phosphosite with a ClinVar disease-associated variant at the exact residue."),
+    "cancer_TCGA_site": (("mc3_tcga", "tcga"), "Phosphosite with a TCGA/MC3 cancer mutation at the exact residue."),
+}
+SCORE_BINS = {
+    "ochoa_top_quartile": "Phosphosite in the top 25% of Ochoa et al. 2020 functional score (most likely functional).",
+    "ochoa_bottom_quartile": "Phosphosite in the bottom 25% of Ochoa et al. 2020 functional score (negative control).",
+}
+LIBRARY_FILES = {"FUNCTIONAL_EFFECT": "functional_effect", "DISEASE_VARIANT": "disease_variant", "FUNCTIONAL_SCORE_BIN": "functional_score"}
+
 
 def set_counts(sets: DataFrame, background: DataFrame, hits: DataFrame) -> DataFrame:
     """library, set_name, set_size and overlap within the background, with the list of overlapping members."""
@@ -50,9 +72,8 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, weight: float = 1.0) ->
 
     Only a set's own members are walked through: between them the sum falls in a straight line.
     """
-    order = W.orderBy(F.col("stat").desc(), "feature")
-    positions = ranked.withColumn("place", F.row_number().over(order))
-    total = ranked.count()
+    positions = placed(ranked, F.col("stat").desc(), "feature").drop("_piece")
+    total = positions.count()
     own = sets.distinct().join(positions, F.col("member") == F.col("feature")).withColumn("w", F.pow(F.abs("stat"), F.lit(float(weight))))
     by = W.partitionBy("library", "set_name")
     upto = by.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -78,37 +99,41 @@ def _es(places: np.ndarray, weights: np.ndarray, total: int) -> float:
 def gsea(ranked: DataFrame, sets: DataFrame, min_set_size: int = 5, max_set_size: int = 500, n_permutations: int = 10_000, seed: int = 42, weight: float = 1.0, fdr_method: str = "bh") -> DataFrame:
     """es, nes, p_value, fdr and leading edge of every set; random position sets of the same size, seeded by the set's name.
 
-    ranked: feature, stat - one row per feature, a list that fits on a driver by its nature.
+    ranked: feature, stat - one row per feature. Places come from a distributed sort and a set's members join them;
+    what goes to the executors whole is one number per feature, the weights by place, which random sets draw from:
+    at most MAX_RANKED of them (a longer list fails).
     """
-    rows = ranked.where("stat is not null").orderBy(F.col("stat").desc(), "feature").toPandas()
-    weights = np.abs(rows["stat"].to_numpy(float)) ** weight
-    total, names = len(rows), rows["feature"].tolist()
-    if len(set(names)) < total:
+    positions = kept(placed(ranked.where("stat is not null"), F.col("stat").desc(), "feature").drop("_piece"))
+    total = positions.count()
+    if total > MAX_RANKED:
+        raise ValueError(f"{total} ranked features; at most {MAX_RANKED} can be drawn from")
+    if positions.select("feature").distinct().count() < total:
         raise ValueError("a feature is ranked twice")
-    spark = ranked.sparkSession
-    held = spark.sparkContext.broadcast((weights, {f: i for i, f in enumerate(names)}))
+    weights = np.zeros(total)
+    listed = positions.select("place", "stat").toArrow()
+    weights[listed["place"].to_numpy() - 1] = np.abs(listed["stat"].to_numpy().astype(float)) ** weight
+    held = ranked.sparkSession.sparkContext.broadcast(weights)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights, place = held.value
-        at = np.sort([place[m] for m in pdf["member"].unique() if m in place])
-        empty = pd.DataFrame(columns=["library", "set_name", "size", "es", "nes", "p_value", "leading_edge"])
-        if not min_set_size <= len(at) <= max_set_size:
-            return empty
-        es = _es(at, weights, total)
         import zlib
 
+        weights, pdf = held.value, pdf.sort_values("place")
+        at = pdf["place"].to_numpy() - 1
+        es = _es(at, weights, total)
         rng = np.random.default_rng([seed, zlib.crc32(f"{pdf['library'].iloc[0]}|{pdf['set_name'].iloc[0]}".encode())])
         null = np.array([_es(np.sort(rng.choice(total, len(at), replace=False)), weights, total) for _ in range(n_permutations)])
         same = null[null >= 0] if es >= 0 else null[null < 0]
         mean = np.abs(same).mean() if len(same) else math.nan
         w = weights[at]
         cum = np.cumsum(w) / max(w.sum(), 1e-300) - (at - np.arange(len(at))) / max(total - len(at), 1)
-        edge = at[: int(cum.argmax()) + 1] if es >= 0 else at[int((cum - w / max(w.sum(), 1e-300)).argmin()) :]
+        edge = slice(0, int(cum.argmax()) + 1) if es >= 0 else slice(int((cum - w / max(w.sum(), 1e-300)).argmin()), None)
         p = ((np.abs(same) >= abs(es)).sum() + 1) / (len(same) + 1)
-        return pd.DataFrame([[pdf["library"].iloc[0], pdf["set_name"].iloc[0], len(at), es, es / mean if mean else math.nan, p, [names_of[i] for i in edge]]], columns=empty.columns)
+        row = [pdf["library"].iloc[0], pdf["set_name"].iloc[0], len(at), es, es / mean if mean else math.nan, p, pdf["feature"].astype(str).tolist()[edge]]
+        return pd.DataFrame([row], columns=["library", "set_name", "size", "es", "nes", "p_value", "leading_edge"])
 
-    names_of = names
-    out = sets.distinct().groupBy("library", "set_name").applyInPandas(run, "library string, set_name string, size long, es double, nes double, p_value double, leading_edge array<string>")
+    met = sets.distinct().join(positions, F.col("member") == F.col("feature")).select("library", "set_name", "feature", "place")
+    sizes = met.groupBy("library", "set_name").agg(F.count("*").alias("n")).where(F.col("n").between(min_set_size, max_set_size)).drop("n")
+    out = met.join(sizes, ["library", "set_name"]).groupBy("library", "set_name").applyInPandas(run, "library string, set_name string, size long, es double, nes double, p_value double, leading_edge array<string>")
     return adjust(out, by=("library",), method=fdr_method)
 
 
@@ -231,23 +256,40 @@ def kinase_substrate_sets(db: DataFrame, min_set_size: int = 5, require_curated:
 
 
 def ptm_libraries(db: DataFrame, min_set_size: int = 5, require_curated: bool = False, drop_chemistry_warned: bool = True) -> DataFrame:
-    """Sets from the PTM database: canonical effects, disease variants, and the outer quartiles of functional scores."""
+    """library, set_name, member: sites by effect on function, by disease variant, and by the outer quartiles of functional scores."""
     own = load_ptm_db(db)
     own = own.where("is_curated") if require_curated else own
     own = own.where(~F.coalesce(F.col("chemistry_warning_flag").cast("boolean"), F.lit(False))) if drop_chemistry_warned else own
     own = own.withColumn("member", keys.site_id(F.col("substrate_uniprot"), F.col("residue"), F.col("position"))).where("member is not null")
-    scores = own.where("Ochoa_functional_score is not null").select("member", F.col("Ochoa_functional_score").cast("double").alias("s")).distinct()
+    scores = own.where("Ochoa_functional_score is not null").groupBy("substrate_uniprot", "residue", "position", "member").agg(F.min(F.col("Ochoa_functional_score").cast("double")).alias("s"))
     q25, q75 = scores.agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
-    parts = [
-        own.where("effect_canonical is not null").select(F.lit("functional").alias("library"), F.col("effect_canonical").alias("set_name"), "member"),
-        own.where("ADB_disease_variant is not null").select(F.lit("disease").alias("library"), F.col("ADB_disease_variant").alias("set_name"), "member"),
-    ]
+    variant = F.lower("ADB_disease_variant")
+    effects = [(name, F.col("effect_canonical") == name) for name in EFFECTS]
+    variants = [(name, F.greatest(*(variant.contains(t) for t in tokens)) if len(tokens) > 1 else variant.contains(tokens[0])) for name, (tokens, _) in VARIANTS.items()]
+    named = lambda library, rules: F.explode(F.filter(F.array(*(F.when(rule, F.struct(F.lit(library).alias("library"), F.lit(name).alias("set_name"))) for name, rule in rules)), lambda s: s.isNotNull())).alias("s")
+    out = own.select(named("FUNCTIONAL_EFFECT", effects), "member").unionByName(own.select(named("DISEASE_VARIANT", variants), "member"))
     if q75 is not None:
-        parts += [scores.where(F.col("s") >= q75).select(F.lit("score").alias("library"), F.lit("high").alias("set_name"), "member"), scores.where(F.col("s") <= q25).select(F.lit("score").alias("library"), F.lit("low").alias("set_name"), "member")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct().withColumn("_n", F.count("*").over(W.partitionBy("library", "set_name"))).where(F.col("_n") >= min_set_size).drop("_n")
+        bins = [("ochoa_top_quartile", F.col("s") >= q75), ("ochoa_bottom_quartile", F.col("s") <= q25)]
+        out = out.unionByName(scores.select(named("FUNCTIONAL_SCORE_BIN", bins), "member"))
+    out = out.select("s.library", "s.set_name", "member").distinct()
+    return out.withColumn("_n", F.count("*").over(W.partitionBy("library", "set_name"))).where(F.col("_n") >= min_set_size).drop("_n")
+
+
+def libraries_manifest(sets: DataFrame) -> DataFrame:
+    """library, set_name, n_sites, description."""
+    described = F.create_map(*(F.lit(x) for pair in ({**EFFECTS, **{k: v[1] for k, v in VARIANTS.items()}, **SCORE_BINS}).items() for x in pair))
+    return sets.groupBy("library", "set_name").agg(F.count("*").alias("n_sites")).withColumn("description", F.coalesce(F.try_element_at(described, F.col("set_name")), F.lit("")))
+
+
+def emit_libraries(db: DataFrame, path: str, min_set_size: int = 5, require_curated: bool = False, drop_chemistry_warned: bool = True) -> DataFrame:
+    """Writes each library as GMT lines and the manifest as CSV below path; returns the manifest."""
+    sets = kept(ptm_libraries(db, min_set_size, require_curated, drop_chemistry_warned))
+    manifest = libraries_manifest(sets)
+    lines = sets.groupBy("library", "set_name").agg(F.concat_ws("\t", F.array_sort(F.collect_set("member"))).alias("members")).join(manifest, ["library", "set_name"])
+    for library, name in LIBRARY_FILES.items():
+        lines.where(F.col("library") == library).orderBy("set_name").select(F.concat_ws("\t", "set_name", "description", "members").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{name}.gmt")
+    manifest.orderBy("library", "set_name").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/manifest.csv")
+    return manifest
 
 
 def match_sites(queries: DataFrame, db: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -308,8 +350,9 @@ def score_against_gold(scores: DataFrame, gold: DataFrame, condition_query: str)
     own = expectations(gold, condition_query).select(F.col("Kinase").alias("source"), F.lower("Directionality").alias("d")).distinct()
     met = scores.join(own, "source", "left")
     right = F.when(F.col("d").contains("up"), F.col("score") > 0).when(F.col("d").contains("down"), F.col("score") < 0)
-    rank = F.rank().over(W.orderBy("score")) + (F.count("*").over(W.partitionBy("score")) - 1) / 2
-    ranked = met.withColumn("right", right).withColumn("rank", rank).withColumn("up", F.coalesce(F.col("d").contains("up"), F.lit(False)))
+    places = placed(met.withColumn("right", right), "score", "source").drop("_piece")
+    middle = places.groupBy("score").agg(F.avg("place").alias("rank"))  # of ties
+    ranked = places.alias("a").join(middle.alias("b"), F.col("a.score").eqNullSafe(F.col("b.score"))).select("a.*", "rank").withColumn("up", F.coalesce(F.col("d").contains("up"), F.lit(False)))
     n1, n0 = F.count_if("up"), F.count_if(~F.col("up"))
     auc = F.try_divide(F.sum(F.when(F.col("up"), F.col("rank"))) - n1 * (n1 + 1) / 2, n1 * n0)
     return ranked.agg(F.count("d").alias("n_expected"), F.count_if("right").alias("n_right"), F.try_divide(F.count_if("right"), F.count("d")).alias("recall"), auc.alias("auc"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.functions.order import least_from_here, placed, sums_so_far
+
 from quantloom.operators.enrichment import gsea, ora
 from quantloom.schema import Settings
 
@@ -133,11 +135,10 @@ def fuzzy_join(queries: DataFrame, index: DataFrame, size: int = 7, max_mismatch
 
 def target_decoy_q(matches: DataFrame, score: str = "mismatches", tie: str = "query") -> DataFrame:
     """Adds q_value: the least share of decoys to targets among all matches up to this score. matches: one row per query, is_decoy."""
-    order = W.partitionBy(F.lit(0)).orderBy(score, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = matches.withColumn("_d", F.sum(F.col("is_decoy").cast("int")).over(order)).withColumn("_t", F.sum((~F.col("is_decoy")).cast("int")).over(order))
+    own = placed(matches, score, tie, place="_place")
+    own = sums_so_far(own, {"_d": F.col("is_decoy").cast("int"), "_t": (~F.col("is_decoy")).cast("int")}, "_place")
     own = own.withColumn("_f", F.least(F.lit(1.0), F.col("_d") / F.greatest(F.col("_t"), F.lit(1))))
-    back = W.partitionBy(F.lit(0)).orderBy(F.col(score).desc(), F.col(tie).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return own.withColumn("q_value", F.min("_f").over(back)).drop("_d", "_t", "_f")
+    return least_from_here(own, "_f", "q_value", place="_place").drop("_d", "_t", "_f", "_place", "_piece")
 
 
 def map_sites(sites: DataFrame, target_fasta: DataFrame, advanced: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -368,7 +368,7 @@ def _ptm_db(spark, sf_dir):
     null = F.lit(None).cast("string")
     return own.select(
         c("gene").alias("substrate_gene"), c("protein").alias("substrate_uniprot"), "residue", c("site_position").alias("position"), F.lit("phospho").alias("modification"), F.when(c("feature") % 4 > 0, F.concat(F.lit("K"), (c("feature") % 7).cast("string"))).alias("enzyme_gene"),
-        null.alias("enzyme_uniprot"), null.alias("effect"), F.when(c("feature") % 3 == 0, "activity").alias("effect_canonical"), null.alias("ADB_disease_variant"), (c("feature") % 101).cast("double").alias("Ochoa_functional_score"),
+        null.alias("enzyme_uniprot"), null.alias("effect"), F.when(c("feature") % 3 == 0, "induces_ppi").when(c("feature") % 3 == 1, "no such effect").alias("effect_canonical"), F.when(c("feature") % 6 == 0, "ClinVar;MC3_TCGA_cancer").when(c("feature") % 6 == 1, "x;TCGA").alias("ADB_disease_variant"), (c("feature") % 101).cast("double").alias("Ochoa_functional_score"),
         (c("feature") % 5).cast("double").alias("curation_confidence"), (c("feature") % 2 == 0).alias("is_curated"), (c("feature") % 11 == 0).alias("chemistry_warning_flag"),
     )
 
@@ -386,6 +386,24 @@ def kinase_substrate_sets(spark, sf_dir):
     return enrichment.kinase_substrate_sets(_ptm_db(spark, sf_dir)).select("set_name", "member")
 
 
+@query(f"""WITH {FEATURES}, o AS (SELECT *, protein || '_' || residue || site_position AS member FROM features WHERE feature % 11 <> 0), s AS (SELECT member, min((feature % 101)::DOUBLE) AS s FROM o GROUP BY 1), q AS (SELECT quantile_cont(s, 0.25) AS a, quantile_cont(s, 0.75) AS b FROM s),
+l AS (SELECT 'FUNCTIONAL_EFFECT' AS library, 'induces_ppi' AS set_name, member FROM o WHERE feature % 3 = 0 UNION SELECT 'DISEASE_VARIANT', 'clinvar_site', member FROM o WHERE feature % 6 = 0 UNION SELECT 'DISEASE_VARIANT', 'cancer_TCGA_site', member FROM o WHERE feature % 6 < 2
+  UNION SELECT 'FUNCTIONAL_SCORE_BIN', 'ochoa_top_quartile', member FROM s, q WHERE s >= b UNION SELECT 'FUNCTIONAL_SCORE_BIN', 'ochoa_bottom_quartile', member FROM s, q WHERE s <= a)
+SELECT library, set_name, count(*) AS n_sites FROM l GROUP BY 1, 2""")
+def site_libraries(spark, sf_dir):
+    return enrichment.libraries_manifest(enrichment.ptm_libraries(_ptm_db(spark, sf_dir))).drop("description")
+
+
+@query(f"""WITH {MEASURE}, {SAMPLES}, {STATS}, r AS (SELECT *, row_number() OVER (ORDER BY stat DESC, feature) AS place, count(*) OVER () AS total FROM stats),
+m AS (SELECT p_type AS set_name, place, total, abs(stat) AS w, row_number() OVER (PARTITION BY p_type ORDER BY place) AS i, count(*) OVER (PARTITION BY p_type) AS n, sum(abs(stat)) OVER (PARTITION BY p_type) AS sw, sum(abs(stat)) OVER (PARTITION BY p_type ORDER BY place) AS cum FROM r JOIN part ON feature = p_partkey),
+e AS (SELECT set_name, max(n) AS size, max(cum / sw - (place - i) / greatest(total - n, 1)) AS top, min((cum - w) / sw - (place - i) / greatest(total - n, 1)) AS bottom,
+  arg_max(i, cum / sw - (place - i) / greatest(total - n, 1)) AS up_to, arg_min(i, (cum - w) / sw - (place - i) / greatest(total - n, 1)) AS from_ FROM m GROUP BY 1)
+SELECT set_name, size, round(CASE WHEN top >= -bottom THEN top ELSE bottom END, 6) AS es, (CASE WHEN top >= -bottom THEN up_to ELSE size - from_ + 1 END)::INT AS n_edge FROM e""")
+def gsea_leading_edge(spark, sf_dir):
+    out = enrichment.gsea(B.part_stats(spark, sf_dir), B.part_sets(spark, sf_dir), max_set_size=1 << 30, n_permutations=50)
+    return out.select("set_name", "size", *r6("es"), F.size("leading_edge").alias("n_edge"))
+
+
 @query(f"WITH {FEATURES}, a AS (SELECT DISTINCT feature AS n, {'protein'} || '|' || gene || '|' || residue || site_position || '|M1' AS feature, protein || '_' || residue || site_position AS site_id FROM features) SELECT DISTINCT feature, site_id FROM a")
 def attached_site_ids(spark, sf_dir):
     own = B.features(spark, sf_dir).select(keys.full_key(c("protein"), c("gene"), c("residue"), c("site_position"), F.lit(1)).alias("feature")).distinct()

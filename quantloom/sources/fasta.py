@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,30 @@ def load_gmt(spark: SparkSession, path: str) -> DataFrame:
     return own.select(library.alias("library"), F.get(cells, F.lit(0)).alias("set_name"), F.explode(F.slice(cells, F.lit(3), F.size(cells))).alias("member")).where("trim(member) <> ''").distinct()
 
 
+def load_libraries(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> DataFrame:
+    """All libraries of a folder, or those named (by file name without suffix); a name that isn't there fails."""
+    found = load_gmt(spark, path)
+    if names is None:
+        return found
+    missing = set(names) - {r[0] for r in found.select("library").distinct().collect()}  # a row per file
+    if missing:
+        raise ValueError(f"there are no libraries {sorted(missing)} in {path}")
+    return found.where(F.col("library").isin(*names))
+
+
+def load_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Expected regulation of kinases: Condition ID, Condition, Kinase, Directionality, Pubmed, Time (min)."""
+    return spark.read.csv(path, header=True)
+
+
+def load_activities(spark: SparkSession, path: str) -> DataFrame:
+    """A wide table of kinases by conditions -> Kinase, condition, activity; empty cells go."""
+    wide = spark.read.csv(path, header=True)
+    first, *conditions = wide.columns
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("condition"), F.col(f"`{c}`").try_cast("double").alias("activity")) for c in conditions)))
+    return wide.select(F.col(f"`{first}`").alias("Kinase"), cells.alias("c")).select("Kinase", "c.condition", "c.activity").where("activity is not null")
+
+
 def write_gmt(sets: DataFrame, path: str) -> None:
     """library, set_name, member -> one folder of text for each library."""
     lines = sets.groupBy("library", "set_name").agg(F.concat_ws("\t", F.array_sort(F.collect_set("member"))).alias("m"))

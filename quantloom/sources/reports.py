@@ -43,18 +43,19 @@ class ReportFormat:
 
 def detect_report_format(columns: Iterable[str]) -> ReportFormat:
     """Engine and shape (long or short) from column names alone."""
-    names = {dotted(c) for c in columns}
-    if {"Protein.Group", "First.Protein.Description"} <= names and "Run" not in names:
-        return ReportFormat("diann", "short")
-    if {"Run", "Precursor.Charge"} <= names:
-        return ReportFormat("diann", "long")
-    if SAMPLE in names:
-        return ReportFormat("spectronaut", "long")
+    columns = list(columns)
+    names = {c.replace("_", ".") for c in columns}
     if any(SHORT_QUANT.match(c) for c in columns):
         return ReportFormat("spectronaut", "short")
-    if {"Index", "ProteinID", "Multiplicity"} <= names:
+    if {SAMPLE, PROTEINS} <= names:
+        return ReportFormat("spectronaut", "long")
+    if {"Run", "Precursor.Id"} <= set(columns):
+        return ReportFormat("diann", "long")
+    if "Protein.Group" in columns:
+        return ReportFormat("diann", "short")
+    if {"Index", "ProteinID", "Multiplicity"} <= set(columns):
         return ReportFormat("fragpipe", "short")
-    raise ValueError("the columns are those of no known report")
+    raise ValueError(f"the columns are those of no known report: {', '.join(columns[:5])}")
 
 
 def dotted(name: str) -> str:

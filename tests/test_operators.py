@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.functions import fdr, order
 from quantloom.operators import collapse, dimred, dose, enrichment, impute, masks, proteome, qc, sequences, signalome, stats
 from quantloom.plans import queries
 from quantloom.schema import ASSAY_PROB, GENES, LOC_PROBS, POSITION, PRECURSOR, PROTEINS, QUANT, SAMPLE
@@ -287,3 +288,49 @@ def test_small_cluster_among_many_sites(spark):
     out = {r["feature"]: r["cluster"] for r in signalome.cluster_sites(spark.createDataFrame(rows, "feature long, kinase string, score double"), 3).collect()}
     assert len(out) == 5100
     assert {out[i] for i in small}.isdisjoint(out[i] for i in ids[:-6])
+
+
+def test_places_and_running_values(spark):
+    """A sort over several partitions; ties, groups, nulls and an empty table."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"g{i % 3}" if i % 7 else None, float(v)) for i, v in enumerate(rng.integers(0, 40, 300))]
+    frame = spark.createDataFrame(rows, "i int, g string, v double").repartition(7)
+    got = order.placed(frame, "v", "i").collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["place"])] == [i for i, _, _ in sorted(rows, key=lambda r: (r[2], r[0]))] and sorted(r["place"] for r in got) == list(range(1, 301))
+    own = order.sums_so_far(order.placed(frame, "v", "i"), {"s": F.col("i")})
+    total = 0
+    for r in sorted(own.collect(), key=lambda r: r["place"]):
+        total += r["i"]
+        assert r["s"] == total
+    back = order.least_from_here(order.placed(frame, "g", "v", "i"), "i", "least", ("g",)).collect()
+    for r in back:
+        assert r["least"] == min(q["i"] for q in back if q["g"] == r["g"] and q["place"] >= r["place"])
+    assert order.placed(frame.limit(0), "v").count() == 0 and fdr.adjust(frame.limit(0), "v").count() == 0
+
+
+def test_adjust_equals_the_plain_procedure(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], float(p)) for i, p in enumerate(np.round(rng.uniform(size=120) ** 2, 2))] + [(500, "a", None), (501, "b", float("nan"))]
+    frame = spark.createDataFrame(rows, "i int, g string, p_value double").repartition(5)
+    for method in ("bh", "by"):
+        got = {r["i"]: r["fdr"] for r in fdr.adjust(frame, by=("g",), method=method).collect()}
+        assert got[500] is None and got[501] is None
+        for g in "ab":
+            own = sorted((p, i) for i, h, p in rows if h == g and p is not None and p == p)
+            n, least = len(own), 1.0
+            c = sum(1 / k for k in range(1, n + 1)) if method == "by" else 1
+            for k in range(n, 0, -1):
+                least = min(least, own[k - 1][0] * n / k * c)
+                assert abs(got[own[k - 1][1]] - least) < 1e-12
+
+
+def test_libraries_are_emitted(spark, tmp_path):
+    names = enrichment.PTM_DB_COLUMNS
+    base = dict.fromkeys(names) | {"substrate_uniprot": "P", "residue": "S", "is_curated": True, "chemistry_warning_flag": False}
+    rows = [base | {"position": i, "effect_canonical": "induces_ppi" if i % 2 else "odd", "ADB_disease_variant": "ClinVar" if i < 6 else None, "Ochoa_functional_score": float(i)} for i in range(24)]
+    kinds = {"position": "int", "is_curated": "boolean", "chemistry_warning_flag": "boolean", "Ochoa_functional_score": "double", "curation_confidence": "double"}
+    db = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    manifest = {(r["library"], r["set_name"]): r["n_sites"] for r in enrichment.emit_libraries(db, str(tmp_path)).collect()}
+    assert manifest == {("FUNCTIONAL_EFFECT", "induces_ppi"): 12, ("DISEASE_VARIANT", "clinvar_site"): 6, ("FUNCTIONAL_SCORE_BIN", "ochoa_top_quartile"): 6, ("FUNCTIONAL_SCORE_BIN", "ochoa_bottom_quartile"): 6}
+    lines = [line.split("\t") for line in spark.read.text(f"{tmp_path}/functional_effect.gmt").toPandas()["value"]]
+    assert [(x[0], len(x) - 2) for x in lines] == [("induces_ppi", 12)] and lines[0][1] == enrichment.EFFECTS["induces_ppi"]

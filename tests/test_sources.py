@@ -45,7 +45,9 @@ def test_proteome_tables(spark, tmp_path):
     measure, meta = reports.read_spectronaut_short(spark, str(path))
     assert sorted((r["sample"], r["intensity"]) for r in measure.collect()) == [("other", None), ("run", 2.0)] and meta.columns == ["feature", "PG.Genes"]
     assert reports.detect_report_format(["PG.ProteinGroups", "[1] run.raw.PG.Quantity"]).shape == "short"
-    assert reports.detect_report_format(["Run", "Precursor.Charge"]).engine == "diann"
+    assert reports.detect_report_format(["Run", "Precursor.Id", "Protein.Group"]) == reports.ReportFormat("diann", "long")
+    assert reports.detect_report_format(["Protein.Group", "Genes", "a.raw"]) == reports.ReportFormat("diann", "short")
+    assert reports.detect_report_format(["R_FileName", "PG_ProteinGroups"]) == reports.ReportFormat("spectronaut", "long")
 
 
 def test_channels_and_queue(spark, tmp_path):
