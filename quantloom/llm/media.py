@@ -25,15 +25,18 @@ UNIT, WIDTH = 192, 64
 #: Rows of one image; a longer payload takes more images.
 ROWS = 8192
 OUT_ROWS = 512
+#: Share of runs of three pixels that have to occur again for references; pixels from which a cache pays, and how often a colour has to occur
+#: on average; share of the bits that a transform has to save, beside those of its own tables.
+REPEATED, CACHE_PIXELS, AGAIN, WORTH, HEAD_BITS, TRANSFORM_PIXELS = 0.15, 2048, 4, 0.05, 1024, 1024
 
 DIGEST = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-    " media_sha256 string, feature string, n_images int"
+    " media_sha256 string, feature string, n_images int, coding string"
 )
 DIGEST_ARROW = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_images", pa.int32()),
+        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_images", pa.int32()), ("coding", pa.string()),
     ]
 )
 
@@ -43,14 +46,58 @@ def pad(payload: bytes) -> bytes:
     return payload + b" " * (-len(payload) % UNIT or (0 if payload else UNIT))
 
 
-def store(payload: bytes) -> bytes:
-    """The payload, whose length is a multiple of 192, as one or more lossless WebP images of 64 pixels a row."""
+def _bits(samples: np.ndarray) -> float:
+    """What an ideal prefix code takes for 8-bit samples."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+def choose(pixels: np.ndarray) -> dict:
+    """How to code (height, WIDTH) pixels, by what each way would save on these very pixels.
+
+    palette: few colours. references: enough runs of three pixels occur again. cache: enough colours do, in
+    an image large enough to pay for the longer code. predictor (a pixel's left or upper neighbour) and
+    subtract_green: if the residuals' entropy is lower by a twentieth at least.
+    """
+    flat = pixels.ravel()
+    n, colours = len(flat), len(np.unique(flat))
+    if colours <= 256 and 8 * colours <= n:
+        return {"palette": True}
+    how: dict = {}
+    runs = flat[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ flat[1:-1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ flat[2:].astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    if len(np.unique(runs)) < (1 - REPEATED) * len(runs):
+        how["references"] = True
+    if n >= CACHE_PIXELS and AGAIN * colours < n:
+        how["cache_bits"] = 8 if n < 4 * CACHE_PIXELS else 10
+    if n < TRANSFORM_PIXELS:
+        return how  # a transform's tables would eat what it saves
+    channels = pixels.view(np.uint8).reshape(*pixels.shape, 4)[..., :3]
+    least = (1 - WORTH) * _bits(channels) - HEAD_BITS
+    for mode, other in ((1, channels[:, :-1]), (2, channels[:-1])):
+        own = channels[:, 1:] if mode == 1 else channels[1:]
+        if len(own) and (found := _bits(own - other)) < least:
+            least, how["predictor"] = found, mode
+    if "predictor" not in how and _bits(channels[..., 1]) + _bits(channels[..., (0, 2)] - channels[..., 1:2]) < least:
+        how["subtract_green"] = True
+    return how
+
+
+def store(payload: bytes, used: list[str] | None = None) -> bytes:
+    """The payload, whose length is a multiple of 192, as one or more lossless WebP images of 64 pixels a row.
+
+    used: gets the ways of coding of each image.
+    """
     images = []
     for start in range(0, len(payload), UNIT * ROWS):
         rgb = np.frombuffer(payload[start : start + UNIT * ROWS], np.uint8).reshape(-1, 3).astype(np.uint32)
-        pixels = webp.ALPHA | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2]
-        colours = len(np.unique(pixels))
-        images.append(webp.encode_webp(pixels.reshape(-1, WIDTH), palette=colours <= 256 and 8 * colours <= len(pixels)))
+        pixels = (webp.ALPHA | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2]).reshape(-1, WIDTH)
+        how = choose(pixels)
+        if used is not None:
+            used.append("+".join(sorted(how)) or "literals")
+        if "predictor" in how:
+            how["predictor"] = np.full((-(-pixels.shape[0] // 16), -(-WIDTH // 16)), how["predictor"])
+        images.append(webp.encode_webp(pixels, **how))
     return b"".join(images)
 
 
@@ -106,11 +153,12 @@ def decode_media(frame: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 def _digest(doc_id: int | None, text: str | None) -> tuple:
     own = (text or "").encode()
-    media = store(pad(own))
+    used: list[str] = []
+    media = store(pad(own), used)
     back = load(media)  # everything below comes from the stored bytes
     tail = zlib.crc32(back[-16:])
     images = -(-len(back) // (UNIT * ROWS))
-    return doc_id, len(own), len(back), hashlib.sha256(back).hexdigest(), tail, len(media), hashlib.sha256(media).hexdigest(), feature(back), images
+    return doc_id, len(own), len(back), hashlib.sha256(back).hexdigest(), tail, len(media), hashlib.sha256(media).hexdigest(), feature(back), images, ",".join(sorted(set(used)))
 
 
 def media_digest(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

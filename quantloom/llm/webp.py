@@ -269,7 +269,15 @@ def _fast_tokens(bits: BitReader, group: list[PrefixCode], out: np.ndarray, widt
         return _slow_tokens(bits, [group], None, 0, out, width, cache_bits)
     data = np.frombuffer(bits.data, np.uint8)
     masks = [(1 << x.bits) - 1 for x in group[:4]]
-    done, cached, cache = 0, 0, np.zeros(1 << cache_bits, np.uint32)
+    done, cached, cache = 0, 0, [0] * (1 << cache_bits)
+
+    def fill(upto: int) -> None:
+        """Pixels that the cache hasn't seen yet, in order."""
+        nonlocal cached
+        for key, value in zip(_cache_key(out[cached:upto], cache_bits).tolist(), out[cached:upto].tolist(), strict=True):
+            cache[key] = value
+        cached = upto
+
     while done < len(out):
         start = bits.at
         span = min(WINDOW_BITS, bits.n - start)
@@ -292,14 +300,25 @@ def _fast_tokens(bits: BitReader, group: list[PrefixCode], out: np.ndarray, widt
             tokens = parts[0]
             key = words[: len(here)] & masks[0]
             nxt = np.where(tokens < 256, nxt, np.where(tokens < 280, -1, here + green.length[key]))
-        follow, place, chain, limit, need = memoryview(nxt), 0, [], len(here) - 1, len(out) - done
-        append = chain.append
+        follow, place, limit = memoryview(nxt), 0, len(here) - 1
         if plain:
+            chain, need = [], len(out) - done
+            append = chain.append
             while place < limit and need:
                 append(place)
                 need -= 1
                 place = follow[place]
-        else:
+            if start + place > bits.n or not chain:
+                raise WebPError("the data ends early")
+            at = np.array(chain)
+            out[done : done + len(at)] = _argb(*(x[at] if isinstance(x, np.ndarray) else x for x in parts))
+            done += len(at)
+            bits.at = start + place
+            continue
+        moved = 0
+        while place < limit and done < len(out):
+            chain, need, to = [], len(out) - done, 0
+            append = chain.append
             while place < limit and need:
                 to = follow[place]
                 if to < 0:
@@ -307,36 +326,42 @@ def _fast_tokens(bits: BitReader, group: list[PrefixCode], out: np.ndarray, widt
                 append(place)
                 need -= 1
                 place = to
-        if start + place > bits.n:
-            raise WebPError("the data ends early")
-        if chain:
-            at = np.array(chain)
-            pick = [x[at] if isinstance(x, np.ndarray) else x for x in parts]
-            if plain or int(pick[0].max()) < 256:
-                pixels = np.asarray(pick[3], np.uint32) << np.uint32(24) | np.asarray(pick[1], np.uint32) << np.uint32(16) | np.asarray(pick[0], np.uint32) << np.uint32(8) | np.asarray(pick[2], np.uint32)
-                out[done : done + len(at)] = pixels
+            if start + place > bits.n:
+                raise WebPError("the data ends early")
+            moved += len(chain)
+            if chain:
+                at = np.array(chain)
+                token, *others = (x[at] if isinstance(x, np.ndarray) else np.full(len(at), x) for x in parts)
+                pixels = _argb(token & 255, *others)
+                if int(token.max()) >= 280:
+                    fill(done)
+                    keys = _cache_key(pixels, cache_bits).tolist()
+                    own = []
+                    for code, key, value in zip(token.tolist(), keys, pixels.tolist(), strict=True):
+                        if code < 256:
+                            cache[key] = value
+                            own.append(value)
+                        else:
+                            own.append(cache[code - 280])
+                    out[done : done + len(at)] = own
+                    cached = done + len(at)
+                else:
+                    out[done : done + len(at)] = pixels
                 done += len(at)
-            else:  # literals in runs between cached colours
-                pixels = np.asarray(pick[3], np.uint32) << np.uint32(24) | np.asarray(pick[1], np.uint32) << np.uint32(16) | (np.asarray(pick[0], np.uint32) & np.uint32(255)) << np.uint32(8) | np.asarray(pick[2], np.uint32)
-                from_cache, last = np.flatnonzero(pick[0] >= 280), 0
-                for i in from_cache.tolist():
-                    out[done : done + i - last] = pixels[last:i]
-                    done += i - last
-                    cache[_cache_key(out[cached:done], cache_bits)] = out[cached:done]
-                    cached = done
-                    out[done] = cache[int(pick[0][i]) - 280]
-                    done, last = done + 1, i + 1
-                out[done : done + len(at) - last] = pixels[last:]
-                done += len(at) - last
-        bits.at = start + place
-        if not plain and done < len(out) and place < limit:  # a back-reference
-            token = bits.symbol(green)
-            length = _prefix_value(token - 256, bits)
-            done = _copy(out, done, _distance(_prefix_value(bits.symbol(far), bits), width), length)
-        elif not chain and done < len(out) and place >= limit:
+            bits.at = start + place
+            if to < 0 and done < len(out):  # a back-reference, then on in the same window
+                token = bits.symbol(green)
+                length = _prefix_value(token - 256, bits)
+                done = _copy(out, done, _distance(_prefix_value(bits.symbol(far), bits), width), length)
+                place, moved = bits.at - start, moved + 1
+        if not moved and done < len(out):
             raise WebPError("the data ends early")
 
 
+def _argb(green, red, blue, alpha) -> np.ndarray:
+    return np.asarray(alpha, np.uint32) << np.uint32(24) | np.asarray(red, np.uint32) << np.uint32(16) | np.asarray(green, np.uint32) << np.uint32(8) | np.asarray(blue, np.uint32)
+
+
 def _windows(bits: BitReader, data: np.ndarray, span: int) -> np.ndarray:
     """The 24 bits that start at each of the next bits."""
     first = bits.at >> 3
@@ -680,6 +705,13 @@ def _tokens(pixels: np.ndarray, cache_bits: int, references: bool) -> tuple[np.n
     n = len(pixels)
     if not cache_bits and not references:
         return np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64)
+    if not references:  # a pixel is cached if the last one of its key was the same
+        keys = _cache_key(pixels, cache_bits).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        again = (keys[order[1:]] == keys[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+        hit = np.zeros(n, bool)
+        hit[order[1:][again]] = True
+        return np.where(hit, 2, 0), np.where(hit, keys, np.arange(n)), np.zeros(n, np.int64)
     values, kind, where, far = pixels.tolist(), [], [], []
     keys = _cache_key(pixels, cache_bits).tolist() if cache_bits else None
     cache, last, i = {}, {}, 0

@@ -83,3 +83,34 @@ def test_frames(spark):
     images = media.decode_media(media.encode_media(rows)).collect()
     assert len(images) == 5 and all(r["width"] == 64 and len(r["pixels"]) == 64 * r["height"] for r in images)
     assert media.media_digest(rows.limit(0)).count() == 0
+
+
+def test_every_way_of_coding_is_chosen_and_read_back():
+    """Payloads that each way suits; the decoder's parts run on what store() wrote."""
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, 6, dtype=np.uint8)) for _ in range(600)]
+    slope = (np.arange(64 * 64) % 251)[:, None] + rng.integers(0, 3, (64 * 64, 3))
+    grey = rng.integers(0, 256, (64 * 64, 1)) + rng.integers(0, 4, (64 * 64, 3))
+    cases = {
+        "palette": b"ab " * 4000,
+        "references": b"".join(words) * 2 + bytes(rng.integers(32, 127, 100, dtype=np.uint8)),
+        "cache_bits": b"".join(words[i][:3] for i in rng.integers(0, 600, 9000)),
+        "predictor": slope.astype(np.uint8).tobytes(),
+        "subtract_green": grey.astype(np.uint8).tobytes(),
+        "literals": bytes(rng.integers(0, 256, 5000, dtype=np.uint8)),
+    }
+    for way, payload in cases.items():
+        used: list[str] = []
+        padded = media.pad(payload)
+        stored = media.store(padded, used)
+        assert way in used[0].split("+"), (way, used)
+        assert media.load(stored) == padded
+
+
+def test_tokens_of_caches_and_references_agree_with_slow_reading():
+    """Long streams of copies and cached colours, over several windows of the fast reader."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 24, 700, dtype=np.uint32) | np.uint32(0xFF000000)
+    pixels = base[np.concatenate([rng.integers(0, 700, 9000), np.arange(600), np.arange(500), rng.integers(0, 40, 6284)])].reshape(-1, 64)
+    for how in ({"cache_bits": 4}, {"cache_bits": 10}, {"references": True}, {"cache_bits": 7, "references": True}):
+        assert (webp.decode_webp(webp.encode_webp(pixels, **how)) == pixels).all()
