@@ -161,10 +161,10 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=False)]
 
 
-SPLIT = "block long, doc_ids binary, null_ids binary, sizes binary, places binary, parts array<binary>"
+SPLIT = "block long, vocabulary string, doc_ids binary, null_ids binary, sizes binary, places binary, parts array<binary>"
 
 
-def split_blocks(frame: DataFrame, pattern: str, parts: int) -> DataFrame:
+def split_blocks(frame: DataFrame, pattern: str, parts: int, vocabulary: str) -> DataFrame:
     """One row per block: the words of its parts, and for each document the numbers of its pre-tokens in order."""
 
     def run(batches):
@@ -187,7 +187,7 @@ def split_blocks(frame: DataFrame, pattern: str, parts: int) -> DataFrame:
             block = int.from_bytes(uuid.uuid4().bytes[:8], "little", signed=True)  # written once, then fixed
             places = renumbered[np.concatenate(found)] if words else np.zeros(0, np.uint32)
             cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in found])), pack(places)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in cells), pa.array([packed], pa.list_(pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([vocabulary]), *(pa.array([c], pa.binary()) for c in cells), pa.array([packed], pa.list_(pa.binary()))], names)
 
     return texts(frame).mapInArrow(run, SPLIT)
 
@@ -316,12 +316,12 @@ def encode_documents(frame: DataFrame, path: str | None = None, pattern: str = p
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each document."""
     path, spark = path or public_tokenizers.path(VOCABULARY), frame.sparkSession
     buckets = min(BUCKETS[1], max(BUCKETS[0], frame.rdd.getNumPartitions()))
-    name, place = _bucketed(split_blocks(frame, pattern, CLASSES * buckets), buckets)
+    name, place = _bucketed(split_blocks(frame, pattern, CLASSES * buckets, path), buckets)
     blocks = spark.table(name)
     parts = blocks.select("block", F.posexplode("parts").alias("part", "words"))
     encoded = encode_parts(parts, path, buckets).repartition(buckets, "block")  # where the bucketed blocks are
     cells = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n", "ids"))).alias("cells"))
-    both = blocks.drop("parts").join(cells, "block", "left").withColumn("vocabulary", F.lit(path))
+    both = blocks.drop("parts").join(cells, "block", "left")
     both = both.join(F.broadcast(nested_tokens(spark, path)), "vocabulary")
     out = scratch(both.mapInArrow(_reassemble(with_ids), ENCODED if with_ids else ENCODED.rpartition(",")[0]), "bpe-encoded")
     spark.sql(f"DROP TABLE {name}")
