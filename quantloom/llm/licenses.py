@@ -2,14 +2,16 @@
 
 A template is marked-up wording: `[[words]]` may be absent, `{{name:n}}` stands for up to n words of any
 kind (`{{name}}`: up to 12); all other words are mandatory and must match exactly, one after another.
-Regions don't nest. A template is found wherever its automaton accepts a run of consecutive words.
+Optional regions may hold slots and other regions, and a template may begin with regions. It is found
+wherever its automaton accepts a run of consecutive words; of the runs around one place of its anchor (the
+first mandatory words outside all regions) the one that starts first and is longest counts.
 Beside templates there are phrases: their words, consecutively.
 
 Words: A to Z are lower-cased and `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` taken, so digits, ASCII letters and
 everything beyond ASCII.
 
 One narrow mapInArrow pass; a row's cost grows with its own length only. An automaton is run only from
-places where its first mandatory words stand, found by substring search.
+places that its anchor, found by substring search, can be reached from.
 
 Defined results: a null text has no words (counts 0, places null, labels empty, score 0); repeated rows
 give repeated results; an empty table gives an empty table; other columns are not read.
@@ -28,6 +30,21 @@ from quantloom.llm.common import read_table, texts
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+# The wording of notices and of whole licence texts that many projects publish unchanged.
+_DISCLAIMER_MIT = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+    " in no event shall the {{authors:8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_DISCLAIMER_BSD = (
+    "this software is provided by {{holders:12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall {{holders:12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits"
+    " or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD = (
+    "[[copyright [[c]] {{holder:16}} [[all rights reserved]]]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "apache-2.0": "licensed under the apache license version 2 0 [[the license]]",
@@ -39,6 +56,18 @@ TEMPLATES = {
     "cc-by-notice": "licensed under [[a]] [[the]] creative commons attribution {{terms:3}} license",
     "cc-by-short": "licensed under [[the]] cc by [[sa]] [[nc]] [[nd]] {{version:2}} [[license]]",
     "copyright-reserved": "copyright [[c]] {{holder:12}} all rights reserved",
+    "mit-text": (
+        "[[the]] [[mit license [[mit]]]] [[copyright [[c]] {{holder:16}} [[all rights reserved]]]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+        " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+        " subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + _DISCLAIMER_MIT
+    ),
+    "isc-text": (
+        "[[isc license]] [[copyright [[c]] {{holder:16}}]] permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and {{author:8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{author:8}} be liable for any special direct indirect or consequential damages"
+        " or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "bsd-2-text": _BSD + " " + _DISCLAIMER_BSD,
+    "bsd-3-text": _BSD + " [[3]] neither the name of {{holder:12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _DISCLAIMER_BSD,
 }
 
 
@@ -47,6 +76,34 @@ def fold_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+_MARK = re.compile(r"(\[\[)|(\]\])|\{\{(.*?)\}\}")
+
+
+def parse_markup(markup: str) -> list:
+    """Nested lists: words (bytes), slots (numbers) and optional regions (lists)."""
+    open_: list[list] = [[]]
+    at = 0
+    for found in _MARK.finditer(markup):
+        open_[-1] += fold_words(markup[at : found.start()])
+        at = found.end()
+        if found[1]:
+            open_.append([])
+        elif found[2]:
+            if len(open_) == 1:
+                raise ValueError(f"a region ends that never began: {markup}")
+            region = open_.pop()
+            open_[-1].append(region)
+        else:
+            open_[-1].append(int(found[3].partition(":")[2] or 12))
+    if len(open_) > 1:
+        raise ValueError(f"a region never ends: {markup}")
+    return open_[0] + fold_words(markup[at:])
+
+
+def _most_words(items: list) -> int:
+    return sum(_most_words(x) if isinstance(x, list) else x if isinstance(x, int) else 1 for x in items)
+
+
 class Automaton:
     """Accepts runs of words. States are numbers; a state has word moves, one 'any word' move and free moves."""
 
@@ -54,31 +111,34 @@ class Automaton:
         self.moves: list[dict[bytes, int]] = [{}]
         self.any: list[int | None] = [None]
         self.free: list[list[int]] = [[]]
-        leading: list[bytes] = []
-        plain_only = True
-        for optional, slot, plain in re.findall(r"\[\[(.*?)\]\]|\{\{(.*?)\}\}|([^\[{]+)", markup):
+        items = parse_markup(markup)
+        self._build(items)
+        self.accepting = len(self.moves) - 1
+        # the anchor, and the least and most words that may stand before it
+        first = next((i for i, x in enumerate(items) if isinstance(x, bytes)), None)
+        if first is None:
+            raise ValueError("a template needs mandatory words outside its regions")
+        last = next((i for i in range(first, len(items)) if not isinstance(items[i], bytes)), len(items))
+        self.anchor = b" ".join(items[first:last])
+        self.before = _most_words(items[:first])
+
+    def _build(self, items: list) -> None:
+        for item in items:
             begin = len(self.moves) - 1
-            if slot:
-                for _ in range(int(slot.partition(":")[2] or 12)):
+            if isinstance(item, bytes):
+                self.moves[begin][item] = self._state()
+            elif isinstance(item, int):
+                for _ in range(item):
                     last = len(self.moves) - 1
                     self.any[last] = self._state()
-                for state in range(begin, len(self.moves) - 1):
-                    self.free[state].append(len(self.moves) - 1)
-                plain_only = False
-                continue
-            words = fold_words(optional or plain)
-            for word in words:
-                last = len(self.moves) - 1
-                self.moves[last][word] = self._state()
-            if optional:
-                self.free[begin].append(len(self.moves) - 1)
-                plain_only = False
-            elif plain_only:
-                leading += words
-        self.accepting = len(self.moves) - 1
-        self.anchor = b" ".join(leading)
-        if not leading:
-            raise ValueError("a template must begin with mandatory words")
+                end = self._state()
+                for state in range(begin, end):
+                    self.free[state].append(end)
+            else:
+                self._build(item)
+                end = self._state()
+                self.free[end - 1].append(end)
+                self.free[begin].append(end)
 
     def _state(self) -> int:
         self.moves.append({})
@@ -109,6 +169,18 @@ class Automaton:
         return end
 
 
+def spans_of(own: Automaton, words: list[bytes], joined: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the automaton accepts around each place of its anchor."""
+    upto = 0  # starts before it have been tried or are inside an accepted run
+    for at in places(joined, own.anchor):
+        for start in range(max(upto, at - own.before), at + 1):
+            end = own.match(words, start)
+            if end is not None and end > at:
+                yield start, end
+                upto = at + 1
+                break
+
+
 def places(joined: bytes, phrase: bytes) -> Iterator[int]:
     """Word numbers at which the words of phrase stand in ` w0 w1 ... `."""
     needle, at, word, last = b" " + phrase + b" ", -1, 0, 0
@@ -140,7 +212,7 @@ class Scanner:
         words = fold_words(text)
         joined = b" " + b" ".join(words) + b" "
         base = [(at, phrase.count(b" ") + 1, label) for phrase, label in self.phrases for at in places(joined, phrase)]
-        spans = [{"label": label, "start": at, "end": end} for label, own in self.automata for at in places(joined, own.anchor) if (end := own.match(words, at)) is not None]
+        spans = [{"label": label, "start": at, "end": end} for label, own in self.automata for at, end in spans_of(own, words, joined)]
         base_labels = sorted({label for _, _, label in base})
         labels = sorted({*base_labels, *(s["label"] for s in spans)})
         covered, upto = 0, 0

@@ -68,7 +68,70 @@ def test_licence_templates():
     assert s.scan(1, "CC-BY cc by all rights reserved")[:7] == (1, 7, 3, 0, 4, "cc-by,reserved", "cc-by,reserved")
     assert s.scan(None, None) == (None, 0, 0, None, None, "", "", 0.0, [])
     with pytest.raises(ValueError):
-        licenses.Automaton("[[only]] optional")
+        licenses.Automaton("[[only]] [[optional {{x}}]]")
+    for bad in ("a [[b", "a b]] c"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(bad)
+
+
+def random_template(rng, depth=0):
+    """(markup, the same as a pattern over words that each end with a space)."""
+    markup, pattern = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.6 or depth == 2:
+            word = rng.choice("abc")
+            markup.append(word), pattern.append(word + " ")
+        elif kind < 0.75:
+            n = rng.randint(1, 3)
+            markup.append(f"{{{{x:{n}}}}}"), pattern.append(rf"(?:\S+ ){{0,{n}}}")
+        else:
+            inner, own = random_template(rng, depth + 1)
+            markup.append(f"[[{inner}]]"), pattern.append(f"(?:{own})?")
+    return " ".join(markup), "".join(pattern)
+
+
+def test_automata_equal_patterns():
+    """Random nested templates over random words, from every start: the longest accepted run."""
+    import regex
+
+    rng, tried = random.Random(11), 0
+    for _ in range(400):
+        markup, pattern = random_template(rng)
+        try:
+            own = licenses.Automaton(markup)
+        except ValueError:
+            continue
+        tried += 1
+        words = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        text, whole = "".join(w + " " for w in words), regex.compile("(?p)" + pattern)
+        for start in range(len(words) + 1):
+            found = whole.match(text, 2 * start)
+            assert own.match([w.encode() for w in words], start) == (found.end() // 2 if found else None), (markup, words, start)
+        joined = " " + text
+        for a, b in licenses.spans_of(own, [w.encode() for w in words], joined.encode()):
+            assert whole.match(text, 2 * a).end() // 2 == b
+        # every place of the anchor that some accepted run covers is in a span
+        anchors = list(licenses.places(joined.encode(), own.anchor))
+        hit = {at for at in anchors for s in range(max(0, at - own.before), at + 1) if (m := whole.match(text, 2 * s)) and m.end() // 2 > at}
+        assert len(list(licenses.spans_of(own, [w.encode() for w in words], joined.encode()))) <= len(hit) and bool(hit) == bool(list(licenses.spans_of(own, [w.encode() for w in words], joined.encode())))
+    assert tried > 200
+
+
+def test_whole_licence_texts(spark):
+    """Texts as published, with names in place of the slots; one changed mandatory word is no match."""
+    import re
+
+    fill = lambda t: re.sub(r"\{\{.*?\}\}", "Jane Q. Public", t)
+    for label in ("mit-text", "isc-text", "bsd-2-text", "bsd-3-text"):
+        markup = licenses.TEMPLATES[label]
+        full = fill(markup).replace("[[", "").replace("]]", "")
+        bare = fill(re.sub(r"\[\[(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "", markup))
+        wrong = full.replace("liable", "reliable", 1)
+        rows = spark.createDataFrame([(1, f"x y {full.upper()}, z"), (2, bare), (3, wrong), (4, full + " and again " + bare)], "doc_id long, text string")
+        found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["label"] == label] for r in licenses.scan_licenses(rows).collect()}
+        n, m = len(licenses.fold_words(full)), len(licenses.fold_words(bare))
+        assert found == {1: [(2, 2 + n)], 2: [(0, m)], 3: [], 4: [(0, n), (n + 2, n + 2 + m)]}, label
 
 
 def test_licence_frame(spark):
