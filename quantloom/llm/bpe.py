@@ -45,6 +45,8 @@ from quantloom.llm.common import drop_path, own_scratch, read_table, scratch, sh
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block of documents ends at this many characters of text or documents.
 BLOCK_CHARS, BLOCK_DOCS = 8 << 20, 8192
+#: Ids in a batch of results, beside 512 documents.
+OUT_IDS = 1 << 19
 #: Hash classes for each bucket; fewest and most buckets; words that a worker remembers; from how many bytes on a word's merges are kept in a heap.
 CLASSES, BUCKETS, WORDS_HELD, LONG_WORD = 4, (64, 4096), 1_000_000, 40
 
@@ -258,13 +260,13 @@ class _Dictionary:
     """The ids of a block's words, by their numbers."""
 
     def __init__(self, cells: list[dict]):
-        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        counts, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for cell in cells:  # in the order of parts
-            numbers = unpack(cell["ids"]).astype(np.int64)
+            numbers = unpack(cell["ids"]).astype(np.int32)
             counts.append(numbers[: cell["n"]])
             flat.append(numbers[cell["n"] :])
         self.counts, self.flat = np.concatenate(counts), np.concatenate(flat)
-        self.starts = np.cumsum(self.counts) - self.counts
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
         ids = list(map(str, self.flat.tolist()))
         self.written = [",".join(ids[a : a + n]) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
 
@@ -294,7 +296,7 @@ def _reassemble(with_ids: bool):
                     known, token = name, batch.column("tokens")[k].as_py().__getitem__
                 ids_bytes, nulls, sizes, packed, cells = (batch.column(c)[k].as_py() for c in ("doc_ids", "null_ids", "sizes", "places", "cells"))
                 words = _Dictionary(cells or [])
-                places, rows, arrays, start = unpack(packed).astype(np.int64), [], [], 0
+                places, rows, arrays, start, held = unpack(packed), [], [], 0, 0
                 for doc_id, null, size in zip(np.frombuffer(ids_bytes, np.int64).tolist(), nulls, unpack(sizes).tolist(), strict=True):
                     at = places[start : start + size]
                     start += size
@@ -303,9 +305,10 @@ def _reassemble(with_ids: bool):
                     decoded = b"".join(map(token, ids.tolist()))
                     rows.append((None if null else doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                     arrays.append(ids if with_ids else ids[:0])
-                    if len(rows) == 512:
+                    held += len(arrays[-1])
+                    if len(rows) == 512 or held > OUT_IDS:
                         yield batch_of(rows, arrays)
-                        rows, arrays = [], []
+                        rows, arrays, held = [], [], 0
                 if rows:
                     yield batch_of(rows, arrays)
 

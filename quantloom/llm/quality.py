@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -117,14 +118,21 @@ def train(samples: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate:
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM))
-    held = ((*document_units(text), int(label)) for text, label in samples)
-    held = [(ids.astype(np.int32), share.astype(np.float32), label) for ids, share, label in held if len(ids)]
-    if len({label for _, _, label in held}) < 2:
+    ids_, shares, ends, labels = array("i"), array("f"), [0], []  # one piece of memory each, which goes back at once
+    for text, label in samples:
+        ids, share = document_units(text)
+        if len(ids):
+            ids_.frombytes(ids.astype(np.int32).tobytes())
+            shares.frombytes(share.astype(np.float32).tobytes())
+            ends.append(len(ids_))
+            labels.append(int(label))
+    if len(set(labels)) < 2:
         return Model(table, out)
-    steps, done = epochs * len(held), 0
+    all_ids, all_shares = np.frombuffer(ids_, np.int32), np.frombuffer(shares, np.float32)
+    steps, done = epochs * len(labels), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(held)):
-            ids, share, label = held[k]
+        for k in rng.permutation(len(labels)):
+            ids, share, label = all_ids[ends[k] : ends[k + 1]], all_shares[ends[k] : ends[k + 1]], labels[k]
             now = rate * (1 - done / steps)
             mean = share @ table[ids]
             z = out @ mean
