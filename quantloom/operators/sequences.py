@@ -85,9 +85,12 @@ class OrthologySettings(Settings):
     fdr: float = 0.01
     decoy_seed: int = 42
     max_genes: int = 3
+    verify_window: int | None = None
 
     def __post_init__(self):
         self._fraction("fdr")
+        if self.verify_window is not None and self.verify_window <= self.window:
+            raise ValueError("verify_window must be wider than window")
         if self.window < 1 or not 0 <= self.max_mismatches <= 2 * self.window:
             raise ValueError("window or max_mismatches out of range")
 
@@ -141,9 +144,39 @@ def target_decoy_q(matches: DataFrame, score: str = "mismatches", tie: str = "qu
     return least_from_here(own, "_f", "q_value", place="_place").drop("_d", "_t", "_f", "_place", "_piece")
 
 
-def map_sites(sites: DataFrame, target_fasta: DataFrame, advanced: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def wide_window(sequence: Column, position: Column, residue: Column, size: int) -> Column:
+    """The residues around a position; null at a protein's ends and where the residue is another one."""
+    inside = (position > size) & (position + size <= F.length(sequence)) & (F.substr(sequence, position, F.lit(1)) == residue)
+    return F.when(inside, F.substr(sequence, position - size, F.lit(2 * size + 1)))
+
+
+def verify_matches(best: DataFrame, near: DataFrame, sites: DataFrame, source_fasta: DataFrame, target_fasta: DataFrame, size: int) -> DataFrame:
+    """best with the paralog that agrees most over the wide window, `verification_mismatches` (-1: not verified) and `verification_identity`.
+
+    A site is verified if its own and its first match's wide windows are whole. Of equal paralogs the first match stays.
+    sites: query, protein, site_position, residue.
+    """
+    own = sites.select("query", F.col("protein").alias("accession"), F.col("site_position").cast("int").alias("_p"), F.col("residue").alias("_r"))
+    own = own.join(source_fasta.select("accession", "sequence"), "accession").select("query", wide_window(F.col("sequence"), F.col("_p"), F.col("_r"), size).alias("_source")).where("_source is not null")
+    cells = near.select("query", "uniprot", "gene", F.col("position").cast("int").alias("position"), "residue").distinct()
+    cells = cells.join(target_fasta.select(F.col("accession").alias("uniprot"), "sequence"), "uniprot").withColumn("_wide", wide_window(F.col("sequence"), F.col("position"), F.col("residue"), size)).drop("sequence")
+    first = best.select("query", F.col("uniprot").alias("_u"), F.col("position").cast("int").alias("_n"))
+    met = cells.where("_wide is not null").join(own, "query").join(first, "query")
+    met = met.withColumn("_mm", hamming(F.col("_source"), F.col("_wide"))).withColumn("_first", (F.col("uniprot") == F.col("_u")) & (F.col("position") == F.col("_n")))
+    met = met.where(F.col("_first") | (F.col("uniprot") != F.col("_u")))
+    rank = F.struct("_mm", (~F.col("_first")).cast("int").alias("other"), "gene", "uniprot", "position", "residue")
+    won = met.groupBy("query").agg(F.min(rank).alias("_w"), F.max("_first").alias("_seen")).where("_seen").drop("_seen")
+    out = best.join(won, "query", "left")
+    replaced = {c: F.coalesce(F.col(f"_w.{c}").cast(best.schema[c].dataType), F.col(c)) for c in ("uniprot", "gene", "position", "residue")}
+    out = out.withColumns(replaced).withColumn("verification_mismatches", F.coalesce(F.col("_w._mm"), F.lit(-1)))
+    return out.withColumn("verification_identity", F.when(F.col("_w._mm").isNotNull(), 1 - F.col("_w._mm") / (2 * size + 1))).drop("_w")
+
+
+def map_sites(sites: DataFrame, target_fasta: DataFrame, advanced: dict | None = None, source_fasta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(best match of each site with status and q value, all matching paralogs). sites: query, window, gene.
 
+    With verify_window and the source proteins (and protein, site_position, residue of sites) matches are verified over a wider window.
+
     Of equally near targets: the same gene, then reviewed, then by gene and accession. A site whose decoy is nearer is
     `decoy_won`; one of more genes than max_genes is promiscuous; q values at the FDR or above are `below_fdr`.
     """
@@ -157,7 +190,10 @@ def map_sites(sites: DataFrame, target_fasta: DataFrame, advanced: dict | None =
     pick = W.partitionBy("query").orderBy((F.upper("gene") == F.col("_own")).cast("int").desc(), F.col("reviewed").cast("int").desc(), "gene", "uniprot", "position")
     genes = F.size(F.collect_set("gene").over(W.partitionBy("query")))
     best = near.withColumn("n_genes", genes).withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n", "_own")
-    out = sites.join(best.drop("qw"), "query", "left") if "gene" not in sites.columns else sites.withColumnRenamed("gene", "source_gene").join(best.drop("qw"), "query", "left")
+    if s.verify_window is not None and source_fasta is not None:
+        best = verify_matches(best, near, sites, source_fasta, target_fasta, s.verify_window)
+    renamed = {c: f"source_{c}" for c in ("gene", "position", "residue", "uniprot", "reviewed") if c in sites.columns}
+    out = sites.withColumnsRenamed(renamed).join(best.drop("qw"), "query", "left")
     out = out.join(wrong, "query", "left").withColumn("is_decoy", F.coalesce(F.col("decoy_mismatches") < F.col("mismatches"), F.col("mismatches").isNull() & F.col("decoy_mismatches").isNotNull()))
     scored = target_decoy_q(out.where("mismatches is not null or decoy_mismatches is not null").select("query", F.coalesce(F.when(F.col("is_decoy"), F.col("decoy_mismatches")), F.col("mismatches")).alias("mismatches"), "is_decoy"))
     out = out.join(scored.select("query", "q_value"), "query", "left")

@@ -334,3 +334,19 @@ def test_libraries_are_emitted(spark, tmp_path):
     assert manifest == {("FUNCTIONAL_EFFECT", "induces_ppi"): 12, ("DISEASE_VARIANT", "clinvar_site"): 6, ("FUNCTIONAL_SCORE_BIN", "ochoa_top_quartile"): 6, ("FUNCTIONAL_SCORE_BIN", "ochoa_bottom_quartile"): 6}
     lines = [line.split("\t") for line in spark.read.text(f"{tmp_path}/functional_effect.gmt").toPandas()["value"]]
     assert [(x[0], len(x) - 2) for x in lines] == [("induces_ppi", 12)] and lines[0][1] == enrichment.EFFECTS["induces_ppi"]
+
+
+def test_wide_window_settles_between_paralogs(spark):
+    """Two genes share the small window; the wide one tells them apart. Ends of proteins are not verified."""
+    core = "AAKSGLL"
+    human = [("H1", "G1", True, "WWWWWW" + core + "WWWWWW"), ("H2", "G2", True, "CDEFGH" + core + "IKLMNP"), ("H3", "G3", True, "MMCPSRHH")]
+    fasta = spark.createDataFrame(human, "accession string, gene string, reviewed boolean, sequence string")
+    source = spark.createDataFrame([("M1", "CDEFGW" + core + "IKLMNP"), ("M2", "MMCPSRHH")], "accession string, sequence string")
+    sites = spark.createDataFrame([("a", core, "G1", "M1", 10, "S"), ("b", "MCPSRHH", "G3", "M2", 5, "S")], "query string, window string, gene string, protein string, site_position int, residue string")
+    plain = {r["query"]: r["uniprot"] for r in sequences.map_sites(sites, fasta, {"window": 3, "max_mismatches": 0, "fdr": 1.0})[0].collect()}
+    assert plain == {"a": "H1", "b": "H3"}
+    got = {r["query"]: r for r in sequences.map_sites(sites, fasta, {"window": 3, "max_mismatches": 0, "fdr": 1.0, "verify_window": 6}, source)[0].collect()}
+    assert (got["a"]["uniprot"], got["a"]["gene"], got["a"]["verification_mismatches"]) == ("H2", "G2", 1) and abs(got["a"]["verification_identity"] - 12 / 13) < 1e-12
+    assert (got["b"]["uniprot"], got["b"]["verification_mismatches"], got["b"]["verification_identity"]) == ("H3", -1, None)
+    with pytest.raises(ValueError):
+        sequences.OrthologySettings.of({"verify_window": 7})
