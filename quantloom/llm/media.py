@@ -53,6 +53,11 @@ def _bits(samples: np.ndarray) -> float:
     return float((counts * np.log2(counts.sum() / counts)).sum())
 
 
+def _distinct(values: np.ndarray) -> int:
+    ordered = np.sort(values)
+    return int(np.count_nonzero(ordered[1:] != ordered[:-1])) + 1
+
+
 def choose(pixels: np.ndarray) -> dict:
     """How to code (height, WIDTH) pixels, by what each way would save on these very pixels.
 
@@ -61,12 +66,12 @@ def choose(pixels: np.ndarray) -> dict:
     subtract_green: if the residuals' entropy is lower by a twentieth at least.
     """
     flat = pixels.ravel()
-    n, colours = len(flat), len(np.unique(flat))
+    n, colours = len(flat), _distinct(flat)
     if colours <= 256 and 8 * colours <= n:
         return {"palette": True}
     how: dict = {}
     runs = flat[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ flat[1:-1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ flat[2:].astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-    if len(np.unique(runs)) < (1 - REPEATED) * len(runs):
+    if _distinct(runs) < (1 - REPEATED) * len(runs):
         how["references"] = True
     if n >= CACHE_PIXELS and AGAIN * colours < n:
         how["cache_bits"] = 8 if n < 4 * CACHE_PIXELS else 10

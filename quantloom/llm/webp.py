@@ -302,11 +302,12 @@ def _fast_tokens(bits: BitReader, group: list[PrefixCode], out: np.ndarray, widt
             nxt = np.where(tokens < 256, nxt, np.where(tokens < 280, -1, here + green.length[key]))
         follow, place, limit = memoryview(nxt), 0, len(here) - 1
         if plain:
-            chain, need = [], len(out) - done
+            chain = []
             append = chain.append
-            while place < limit and need:
+            for _ in range(len(out) - done):
+                if place >= limit:
+                    break
                 append(place)
-                need -= 1
                 place = follow[place]
             if start + place > bits.n or not chain:
                 raise WebPError("the data ends early")
@@ -317,14 +318,15 @@ def _fast_tokens(bits: BitReader, group: list[PrefixCode], out: np.ndarray, widt
             continue
         moved = 0
         while place < limit and done < len(out):
-            chain, need, to = [], len(out) - done, 0
+            chain, to = [], 0
             append = chain.append
-            while place < limit and need:
+            for _ in range(len(out) - done):
+                if place >= limit:
+                    break
                 to = follow[place]
                 if to < 0:
                     break
                 append(place)
-                need -= 1
                 place = to
             if start + place > bits.n:
                 raise WebPError("the data ends early")
@@ -641,14 +643,12 @@ def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
         if len(used) == 2:
             bits.put(used[1], 8)
         return
-    tokens, i, all_lengths = [], 0, lengths[: used[-1] + 1].tolist()
-    while i < len(all_lengths):
-        run = 1
-        while i + run < len(all_lengths) and all_lengths[i + run] == all_lengths[i]:
-            run += 1
-        i += run
-        if all_lengths[i - 1]:
-            tokens.append((all_lengths[i - 1], 0, 0))
+    tokens, held = [], lengths[: used[-1] + 1]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    runs = np.diff(np.append(first, len(held))).tolist()
+    for length, run in zip(held[first].tolist(), runs, strict=True):
+        if length:
+            tokens.append((length, 0, 0))
             run -= 1
             while run >= 3:
                 take = min(run, 6)
@@ -659,7 +659,7 @@ def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
                 take = min(run, 138)
                 tokens.append((18, take - 11, 7) if take > 10 else (17, take - 3, 3))
                 run -= take
-        tokens += [(all_lengths[i - 1], 0, 0)] * run
+        tokens += [(length, 0, 0)] * run
     own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     codes = canonical_codes(own).tolist()
     n = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if own[s]) + 1
@@ -667,17 +667,19 @@ def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
     bits.put(max(n, 4) - 4, 4)
     for s in CODE_LENGTH_ORDER[: max(n, 4)]:
         bits.put(int(own[s]), 3)
-    cut = len(all_lengths) < len(lengths)
+    cut = len(held) < len(lengths)
     bits.put(int(cut), 1)
     if cut:
         wide = max(0, (len(tokens) - 2).bit_length())
         size = max(1, -(-wide // 2))
         bits.put(size - 1, 3)
         bits.put(len(tokens) - 2, 2 * size)
-    single = int((own > 0).sum()) == 1
-    for token, value, extra in tokens:
-        bits.put(codes[token], 0 if single else int(own[token]))
-        bits.put(value, extra)
+    sizes = [0] * 19 if int((own > 0).sum()) == 1 else own.tolist()
+    value, n = 0, 0
+    for token, more, extra in tokens:
+        value |= (codes[token] | more << sizes[token]) << n
+        n += sizes[token] + extra
+    bits.put(value, n)
 
 
 def _pack(start: int, codes: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
