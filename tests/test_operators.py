@@ -350,3 +350,39 @@ def test_wide_window_settles_between_paralogs(spark):
     assert (got["b"]["uniprot"], got["b"]["verification_mismatches"], got["b"]["verification_identity"]) == ("H3", -1, None)
     with pytest.raises(ValueError):
         sequences.OrthologySettings.of({"verify_window": 7})
+
+
+@pytest.mark.parametrize(("weights", "block_rows"), [("uniform", 7), ("distance", 4096)])
+def test_knn_equals_brute_force(spark, weights, block_rows):
+    """Gaps, ties, a sample without comparable donors; many small blocks give what one large one gives."""
+    rng = np.random.default_rng(12)
+    m = np.round(rng.normal(20, 2, (40, 6)), 1)
+    m[rng.random(m.shape) < 0.3] = np.nan
+    m[:, 0] = np.where(np.isnan(m[:, 0]) & np.isnan(m[:, 1:]).all(axis=1), 20.0, m[:, 0])
+    m[5] = m[9]
+    rows = [(f"f{i:02d}", f"s{j}", None if np.isnan(m[i, j]) else float(m[i, j])) for i in range(40) for j in range(6)]
+    frame = spark.createDataFrame(rows, "feature string, sample string, intensity double")
+    got = {(r["feature"], r["sample"]): (r["intensity"], r["is_imputed"]) for r in impute.impute_knn(frame, frame.select("sample"), 3, weights, block_rows).collect()}
+    assert len(got) == 240
+    for i in range(40):
+        for j in range(6):
+            value, imputed = got[f"f{i:02d}", f"s{j}"]
+            assert imputed == np.isnan(m[i, j])
+            if not imputed:
+                assert value == m[i, j]
+                continue
+            able = []
+            for d in range(40):
+                both = ~np.isnan(m[i]) & ~np.isnan(m[d])
+                if not np.isnan(m[d, j]) and both.any():
+                    able.append((math.sqrt(max(0.0, ((m[i] - m[d])[both] ** 2).sum()) * 6 / both.sum()), d))
+            near = sorted((round(x, 9), d) for x, d in able)[:3]
+            if not near:
+                assert value == pytest.approx(np.nanmean(m[:, j]))
+            elif len(able) > 3 and len({x for x, _ in sorted((round(x, 9), d) for x, d in able)[2:4]}) == 1:
+                continue  # a tie at the end of the list
+            elif weights == "distance":
+                w = [float(x == 0) for x, _ in near] if near[0][0] < 1e-7 else [1 / x for x, _ in near]
+                assert near[0][0] < 1e-7 or value == pytest.approx(sum(a * m[d, j] for a, (_, d) in zip(w, near, strict=True)) / sum(w), abs=1e-6)
+            else:
+                assert value == pytest.approx(np.mean([m[d, j] for _, d in near]))
