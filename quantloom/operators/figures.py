@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,26 @@ from pyspark.sql import functions as F
 from quantloom.functions import keys
 
 
+# Pixels of a figure, categories that each step of width holds, the size of groups whose points are shown.
+WIDTH, WIDTH_STEP, WIDTH_MOST, STEP_CATEGORIES, POINTS_BELOW = 600, 300, 1800, 6, 100
+
+
+def plot_width(n_categories: int) -> int:
+    """600 pixels for up to six categories, 300 more for each further six, at most 1800."""
+    steps = max(0, math.ceil((n_categories - STEP_CATEGORIES) / STEP_CATEGORIES))
+    return min(WIDTH_MOST, WIDTH + steps * WIDTH_STEP)
+
+
+def should_show_points(group_sizes: Iterable[int]) -> bool:
+    return 0 < max(group_sizes, default=-1) + 1 <= POINTS_BELOW
+
+
+def group_order(samples: DataFrame, by: str, declared: list[str] | None = None) -> list[str]:
+    """The groups that occur, in the declared order or else sorted; a handful."""
+    found = {r[0] for r in samples.select(F.col(by).cast("string")).where(F.col(by).isNotNull()).distinct().collect()}
+    return [g for g in declared if g in found] if declared else sorted(found)
+
+
 def volcano(result: DataFrame, fdr: float = 0.05, log2fc: float = 1.0) -> DataFrame:
     """Adds neg_log10_fdr, label and category: sig_up, sig_down, almost_up, almost_down (one bound met) or ns."""
     strong, large = F.col("fdr") < fdr, F.abs("log2fc") >= log2fc

@@ -386,3 +386,34 @@ def test_knn_equals_brute_force(spark, weights, block_rows):
                 assert near[0][0] < 1e-7 or value == pytest.approx(sum(a * m[d, j] for a, (_, d) in zip(w, near, strict=True)) / sum(w), abs=1e-6)
             else:
                 assert value == pytest.approx(np.mean([m[d, j] for _, d in near]))
+
+
+def test_settings_and_helpers(spark):
+    from quantloom import schema
+    from quantloom.operators import figures
+
+    assert schema.PcaSettings.of({"n_components": 3}).n_components == 3 and schema.TsneSettings.of().perplexity == 30.0
+    for bad in ({"n_components": 0}, {"n_components": True}, {"nothing": 1}):
+        with pytest.raises(ValueError):
+            schema.PcaSettings.of(bad)
+    with pytest.raises(ValueError):
+        schema.TsneSettings.of({"perplexity": 0.0})
+    assert [figures.plot_width(n) for n in (1, 6, 7, 12, 13, 99)] == [600, 600, 900, 900, 1200, 1800]
+    assert figures.should_show_points([3, 99]) and not figures.should_show_points([3, 100]) and not figures.should_show_points([])
+    rows = spark.createDataFrame([("a", "y"), ("b", "x"), ("c", None)], "sample string, condition string")
+    assert figures.group_order(rows, "condition") == ["x", "y"] and figures.group_order(rows, "condition", ["y", "z", "x"]) == ["y", "x"]
+
+
+def test_selection_of_modules_is_recorded(spark):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(3, 12))
+    rows = [(f"s{i:02d}", f"k{j:02d}", float(centres[i % 3, j] + 0.01 * rng.normal())) for i in range(30) for j in range(12)]
+    found = signalome.clustering(spark.createDataFrame(rows, "feature string, kinase string, score double"))
+    labels = {r["feature"]: r["cluster"] for r in found.clusters.collect()}
+    picked = found.selection
+    assert picked.reason == "primary" and picked.mode == "exact" and picked.n_sites == 30 and len(found.tree) == 29
+    assert picked.candidates[picked.module_count].mean == max(c.mean for c in picked.candidates.values()) and picked.module_count >= 3
+    homes = {}
+    for site, label in labels.items():
+        homes.setdefault(label, set()).add(int(site[1:]) % 3)
+    assert all(len(h) == 1 for h in homes.values()) and picked.candidates[3].n_singletons == 0 and picked.candidates[3].least > 0.9
