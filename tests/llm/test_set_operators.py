@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -180,6 +181,76 @@ def test_shards(spark):
     assert sharding.shard_documents(spark.createDataFrame(rows[:3], DOCS)).count() == 3
 
 
+def brute_shards(spark, frame, shards, rounds=sharding.ROUNDS):
+    """(doc_id, text's checksum) -> sorted (shard, slot), by plain loops; only the hashes come from Spark."""
+    F = sharding.F
+
+    def hashed(kind, values, expression):
+        values = sorted(set(values))
+        rows = spark.createDataFrame([(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(values)], f"i int, {kind}")
+        return {values[r["i"]]: r["h"] for r in rows.select("i", expression.alias("h")).collect()}
+
+    def of_rid(salt):
+        return hashed("rid string", [r["rid"] for r in rows], sharding._hash01(F.col("rid"), salt=salt))
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows, seen, members = [], {}, {}
+    for r in frame.select("doc_id", F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.sha2(text, 256)).alias("key")).collect():
+        key = bytes(r["key"])
+        n = seen[r["doc_id"], key] = seen.get((r["doc_id"], key), 0) + 1
+        name = "|".join(["" if r["doc_id"] is None else str(r["doc_id"]), key.hex().upper(), str(n)])
+        rows.append({"doc_id": r["doc_id"], "crc": r["crc"], "key": key, "rid": hashlib.md5(name.encode()).hexdigest()})
+        members[key] = members.get(key, 0) + 1
+    total = len(rows)
+    quota = -(-total // shards)
+    start, chunk = of_rid("start"), of_rid("chunk")
+    for r in rows:
+        r["shard"], r["chunk"] = int(start[r["rid"]] * shards), int(chunk[r["rid"]] * -(-members[r["key"]] // quota))
+    linked = [r for r in rows if members[r["key"]] > 1]
+    hubs = hashed("k binary, c long", [(r["key"], r["chunk"]) for r in linked], F.xxhash64("k", "c"))
+    ties = hashed("h long, s int", [(h, s) for h in hubs.values() for s in range(shards)], F.xxhash64("h", "s"))
+    for r in linked:
+        r["hub"] = hubs[r["key"], r["chunk"]]
+    for k in range(rounds):
+        luck, held = of_rid(f"round{k}"), {}
+        for r in linked:
+            held[r["hub"], r["shard"]] = held.get((r["hub"], r["shard"]), 0) + 1
+        wish = {h: max((n, ties[h, s], s) for (g, s), n in held.items() if g == h)[2] for h in set(hubs.values())}
+        now = [sum(r["shard"] == s for r in linked) for s in range(shards)]
+        come = [sum(wish[r["hub"]] == s != r["shard"] for r in linked) for s in range(shards)]
+        rate = [min(1.0, max(0.0, (quota - now[s]) / come[s])) if come[s] else 0.0 for s in range(shards)]
+        for r in linked:
+            if wish[r["hub"]] != r["shard"] and luck[r["rid"]] < rate[wish[r["hub"]]]:
+                r["shard"] = wish[r["hub"]]
+    of_hub, alone = hashed("hub long", list(hubs.values()), sharding._hash01(F.col("hub"), salt="order")), of_rid("order")
+    buckets = max(8, 2 * total // (shards * sharding.BUCKET_ROWS))
+    place = lambda r: (int((of_hub[r["hub"]] if "hub" in r else 1 + alone[r["rid"]]) * buckets), r.get("hub", 0), r["rid"])
+    held = [sorted((r for r in rows if r["shard"] == s), key=place) for s in range(shards)]
+    own = [total // shards + (s < total % shards) for s in range(shards)]
+    spilled = [r for s in range(shards) for r in held[s][own[s] :]]
+    for s in range(shards):
+        held[s] = held[s][: own[s]]
+    for s in range(shards):
+        while len(held[s]) < own[s]:
+            held[s].append(spilled.pop(0))
+    out = {}
+    for s in range(shards):
+        for slot, r in enumerate(held[s]):
+            out.setdefault((r["doc_id"], r["crc"]), []).append((s, slot))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize(("seed", "shards"), [(0, 5), (1, 9)])
+def test_shards_equal_plain_loops(spark, seed, shards):
+    rng = random.Random(seed)
+    texts = [f"t{rng.randrange(30)}" if rng.random() < 0.6 else f"own {i}" for i in range(150)] + ["hot"] * 70 + [None, ""]
+    frame = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)] + [(3, "again", "s", 1)] * 2 + [(None, "hot", "s", 1)], DOCS)
+    got = {}
+    for r in sharding.shard_documents(frame, shards=shards).collect():
+        got.setdefault((r["doc_id"], r["text_crc32"]), []).append((r["shard"], r["slot"]))
+    assert {k: sorted(v) for k, v in got.items()} == brute_shards(spark, frame, shards)
+
+
 def water(sizes, weights, total):
     target = dict.fromkeys(sizes, 0.0)
     free = set(sizes)

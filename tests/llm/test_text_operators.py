@@ -55,6 +55,18 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(turns(spark, rows).limit(0)).count() == 0
 
 
+def test_chat_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b", "x", 5), (1, 0, "user", "a", "y", 6)], "conv_id long, turn long, role string, text string, formatted string, turns int")
+    out = chat.format_chat(rows).collect()
+    assert len(out) == 1 and [(t["role"], t["text"]) for t in spark.createDataFrame(out).select(chat.parse_chat(chat.F.col("formatted")).alias("t")).first()["t"]] == [("user", "a"), ("assistant", "b")]
+
+
+def test_licences_in_a_very_long_text(spark):
+    text = "filler words here " * 100_000 + "licensed under the apache license version 2.0 " + "and more " * 50_000 + "all rights reserved"
+    r = licenses.scan_licenses(spark.createDataFrame([(1, text, "b", 1)], DOCS)).first()
+    assert r["labels"] == "apache-2.0,reserved" and r["n_words"] == 400_011 and (r["first_word"], r["last_word"]) == (400_008, 400_008)
+
+
 def test_licence_templates():
     s = licenses.Scanner({"a": "made by {{who:2}} for [[the]] x y", "b": "p [[q]] [[r]] s"}, licenses.PHRASES)
 
@@ -241,6 +253,19 @@ def test_classifier_learns_and_scores(spark):
     assert kept.columns == rows.columns and kept.where("doc_id < 200").count() == 100
 
 
+def test_scores_equal_a_forward_pass():
+    """What scoring adds up word by word is the softmax of the averaged vectors."""
+    import numpy as np
+
+    good, bad = "the quiet river ran over old stones", "BUY!!! NOW!!! $$$ CHEAP###"
+    model = quality.train([((good if i % 2 else bad) + f" {i}", i % 2) for i in range(60)], epochs=2)
+    texts = ["the river", "CHEAP!!! NOW NOW", "", "é " * 40, "quiet stones ran " * 30]
+    for text, score in zip(texts, quality.Scorer(model.logits()).scores(texts), strict=True):
+        ids, share = quality.document_units(text)
+        z = model.out @ (share @ model.table[ids].astype(float)) if len(ids) else np.zeros(2)
+        assert abs(np.exp(z[1]) / np.exp(z).sum() - score) < 1e-6
+
+
 def test_classifier_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
