@@ -2,15 +2,15 @@
 
 Units of a text: its words (runs of non-space characters, case kept), the character n-grams of each word
 with its boundaries, and pairs of neighbouring words (a repeated word is one unit, whatever the word).
-Units are hashed to rows of an embedding table; a document is the mean of its units' vectors; a softmax layer gives the probability
-of label 1.
-
-Training takes at most `train_rows` labelled documents (the smallest hashes of doc_id, so the choice
-agrees between runs): a bounded sample, fitted in one task on an executor, so that the driver holds neither
-texts nor embeddings. Scoring covers every whole text: one narrow
-mapInArrow pass. The output layer is linear in the mean, so each row of the table is projected to its one
-logit first (as many numbers as there are buckets, which bounds the broadcast), and a worker remembers
-hash and sum of logits of the words it has met, for at most `WORDS_HELD` words at a time.
+Units are hashed to rows of an embedding table; a document is the mean of its units' vectors; a softmax
+layer gives the probability of label 1.
+
+Training takes at most `rows` labelled documents (TRAIN_ROWS by default; the smallest hashes of doc_id, so
+the choice agrees between runs): a bounded sample, fitted in one task on an executor, so that the driver
+holds neither texts nor embeddings. Scoring covers every whole text: one narrow mapInArrow pass. The output
+layer is linear in the mean, so each row of the table is projected to its one logit first (as many numbers
+as there are buckets, which bounds the broadcast), and a worker remembers hash and sum of logits of the
+words it has met, for at most `WORDS_HELD` words at a time.
 
 Defined results: a null or empty text has no units and scores 0.5; repeated rows give repeated results;
 without labelled rows of both labels every score is 0.5; null labels are not learned from; rows of labels
