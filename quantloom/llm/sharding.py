@@ -41,6 +41,7 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         held = now.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         # most of the group; of equal shards the one that a hash of the hub prefers, so that ties spread
         wish = held.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best")).select("hub", F.col("best.shard").alias("wish"))
+        wish = scratch(wish, f"shard-wish{k}")  # joined to many rows of a hub: the other side can be split
         asked = now.join(wish, "hub")
         flows = asked.groupBy("shard", "wish").agg(F.count("*").alias("n"))  # at most shards x shards rows
         stay = flows.groupBy("shard").agg(F.sum(F.when(F.col("shard") == F.col("wish"), F.col("n")).otherwise(0)).alias("stay"))
@@ -53,7 +54,7 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         moved = asked.join(F.broadcast(rates), "wish", "left")  # a row per shard
         go = (F.col("wish") != F.col("shard")) & (_hash01(F.col("rid"), salt=f"round{k}") < F.col("rate"))
         after = scratch(moved.select("rid", "hub", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard")), f"shard-round{k}")
-        drop_scratch(after.sparkSession, now)
+        drop_scratch(after.sparkSession, now, wish)
         now = after
     return now
 
