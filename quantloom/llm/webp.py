@@ -780,6 +780,14 @@ def _put_pixels(bits: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
     if same:
         codes = [codes[0], codes[0], codes[0], canonical_codes(all_lengths[3]), np.zeros(40, np.int64)]
     sizes = [np.where((x > 0).sum() > 1, x, 0) for x in all_lengths]
+    if literal is pixels and not sizes[3].any():  # nothing but colours
+        order = channels[:, (1, 2, 0)]
+        if same:
+            value, wide = codes[0][order], sizes[1][order]
+        else:
+            value, wide = (np.stack([x[c][order[:, c]] for c in range(3)], axis=1) for x in (codes, sizes))
+        bits.put(*_pack(0, value.ravel(), wide.ravel()))
+        return
     # columns of each token: green, red, blue, alpha | green, length bits, distance, distance bits
     value, wide = np.zeros((len(kind), 4), np.int64), np.zeros((len(kind), 4), np.int64)
     value[:, 0], wide[:, 0] = codes[0][green], sizes[0][green]
