@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.operators.masks import class1
+from quantloom.operators.matrix import sample_moments
 
 
 def robust_z(frame: DataFrame, column: str, out: str) -> DataFrame:
@@ -124,11 +125,12 @@ def cv_boxes(cv: DataFrame) -> DataFrame:
 
 
 def replicate_correlation(measure: DataFrame, min_shared: int = 10) -> DataFrame:
-    """sample_a < sample_b, n_shared, r: pairs of samples are few, their features are joined by key."""
-    own = measure.where("intensity is not null").select("feature", "sample", "intensity")
-    a, b = own.withColumnsRenamed({"sample": "sample_a", "intensity": "x"}), own.withColumnsRenamed({"sample": "sample_b", "intensity": "y"})
-    out = a.join(b, "feature").where("sample_a < sample_b").groupBy("sample_a", "sample_b").agg(F.count("*").alias("n_shared"), F.corr("x", "y").alias("r"))
-    return out.where(F.col("n_shared") >= min_shared)
+    """sample_a < sample_b, n_shared, r: from sums of products, one row per pair of samples and partition."""
+    met = sample_moments(measure)
+    n, c = F.col("n"), F.col
+    spread = (n * c("aa") - c("a") * c("a")) * (n * c("bb") - c("b") * c("b"))
+    r = F.when(spread > 0, (n * c("ab") - c("a") * c("b")) / F.sqrt(spread))
+    return met.where(n >= min_shared).select("sample_a", "sample_b", n.alias("n_shared"), r.alias("r"))
 
 
 def contaminant_breakdown(psm: DataFrame, is_contaminant: Column, gene: str = "gene", top: int = 15) -> DataFrame:

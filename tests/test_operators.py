@@ -417,3 +417,26 @@ def test_selection_of_modules_is_recorded(spark):
     for site, label in labels.items():
         homes.setdefault(label, set()).add(int(site[1:]) % 3)
     assert all(len(h) == 1 for h in homes.values()) and picked.candidates[3].n_singletons == 0 and picked.candidates[3].least > 0.9
+
+
+def test_pair_sums_with_gaps(spark):
+    """Correlations and distances over what both samples have; a pair that shares nothing; whole-number samples."""
+    rng = np.random.default_rng(14)
+    m = rng.normal(10, 2, (60, 5))
+    m[rng.random(m.shape) < 0.3] = np.nan
+    m[:30, 3], m[30:, 4] = np.nan, np.nan
+    rows = [(i, j, float(m[i, j])) for i in range(60) for j in range(5) if not np.isnan(m[i, j])]
+    frame = spark.createDataFrame(rows, "feature int, sample int, intensity double").repartition(6)
+    r = {(x["sample_a"], x["sample_b"]): (x["n_shared"], x["r"]) for x in qc.replicate_correlation(frame, 3).collect()}
+    for metric in ("euclidean", "correlation", "cosine"):
+        d = {(x["sample_a"], x["sample_b"]): x["distance"] for x in dimred.sample_distance(frame, metric).collect()}
+        for i in range(5):
+            for j in range(i + 1, 5):
+                both = ~np.isnan(m[:, i]) & ~np.isnan(m[:, j])
+                x, y = m[both, i], m[both, j]
+                if not both.any():
+                    assert (i, j) not in d and (i, j) not in r
+                    continue
+                expected = {"euclidean": math.sqrt(((x - y) ** 2).mean()), "correlation": 1 - np.corrcoef(x, y)[0, 1], "cosine": 1 - x @ y / math.sqrt((x @ x) * (y @ y))}
+                assert d[i, j] == pytest.approx(expected[metric], abs=1e-9) and r[i, j][0] == both.sum() and r[i, j][1] == pytest.approx(np.corrcoef(x, y)[0, 1])
+    assert qc.replicate_correlation(frame.limit(0)).count() == 0
