@@ -25,17 +25,18 @@ def base_sequence(precursor: Column) -> Column:
     return F.when(F.length(precursor) < 4, precursor).otherwise(F.regexp_replace(s, r"\.\d+$", ""))
 
 
-def clean_sequence(precursor: Column) -> Column:
-    return F.replace(F.regexp_replace(base_sequence(precursor), r"\[[^\]]*\]", ""), F.lit("_"), F.lit(""))
+def clean_sequence(precursor: Column, base: Column | None = None) -> Column:
+    """base: base_sequence(precursor), where it is a column already."""
+    return F.replace(F.regexp_replace(base_sequence(precursor) if base is None else base, r"\[[^\]]*\]", ""), F.lit("_"), F.lit(""))
 
 
 def phospho_count(precursor: Column) -> Column:
     return F.size(F.split(precursor, _PHOSPHO_MARK)) - 1
 
 
-def modifications(precursor: Column) -> Column:
+def modifications(precursor: Column, base: Column | None = None) -> Column:
     """Every bracket's content, in order."""
-    return F.regexp_extract_all(base_sequence(precursor), F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    return F.regexp_extract_all(base_sequence(precursor) if base is None else base, F.lit(r"\[([^\]]+)\]"), F.lit(1))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,9 +55,9 @@ def _ends(segments: Column) -> Column:
     return _let(segments, lambda own: F.when(F.size(own) > 1, running(own)))
 
 
-def phospho_positions(precursor: Column) -> Column:
+def phospho_positions(precursor: Column, base: Column | None = None) -> Column:
     """Positions (from 1) of the phosphorylated residues; null if there is none."""
-    return _ends(F.split(F.regexp_replace(base_sequence(precursor), _OTHER_BRACKET, ""), _PHOSPHO_MARK))
+    return _ends(F.split(F.regexp_replace(base_sequence(precursor) if base is None else base, _OTHER_BRACKET, ""), _PHOSPHO_MARK))
 
 
 def encoded_positions(precursor: Column) -> Column:

@@ -13,7 +13,7 @@ from quantloom.functions import keys
 from quantloom.functions import peptides as P
 from quantloom.operators import masks
 from quantloom.schema import (
-    ASSAY_PROB, CHANNEL_JOIN, GENES, LOC_PROBS, POSITION, PRECURSOR, PROTEINS, RESIDUES, SAMPLE, CollapseSettings, PrecursorSettings, resolve_quant_column,
+    ASSAY_PROB, CHANNEL_JOIN, GENES, LOC_PROBS, PHOSPHO, POSITION, PRECURSOR, PROTEINS, RESIDUES, SAMPLE, CollapseSettings, PrecursorSettings, resolve_quant_column,
 )
 from quantloom.storage import kept
 
@@ -47,13 +47,16 @@ def prepare(psm: DataFrame, quant: str) -> DataFrame:
         c(SAMPLE).alias("sample"), c(PRECURSOR).alias("precursor"), c(POSITION).cast("string").alias("peptide_position"), c(PROTEINS).alias("proteins"),
         c(GENES).alias("genes"), c(ASSAY_PROB).cast("double").alias("assay_prob"), c(quant).cast("double").alias("_quant"), c(LOC_PROBS).alias("loc_string"),
     )
-    out = out.withColumn("positions", P.phospho_positions(F.col("precursor"))).where("positions is not null")
-    return out.withColumn("sequence", P.clean_sequence(F.col("precursor"))).withColumn("mods", P.modifications(F.col("precursor"))).withColumn("loc_cells", P.localization(F.col("loc_string")))
+    # a cheap test first: what is parsed stays out of the filter, and the sequence with its brackets is made once
+    out = out.where(F.col("precursor").contains(PHOSPHO)).withColumn("_base", P.base_sequence(F.col("precursor")))
+    own = (F.col("precursor"), F.col("_base"))
+    out = out.withColumns({"positions": P.phospho_positions(*own), "sequence": P.clean_sequence(*own), "mods": P.modifications(*own), "loc_cells": P.localization(F.col("loc_string"))})
+    return out.drop("_base")
 
 
 def explode_sites(prepared: DataFrame) -> DataFrame:
     """One row per phosphorylated position; its own probability, else that of the whole assay."""
-    out = prepared.withColumn("n_phospho", F.size("positions")).withColumn("position", F.explode("positions"))
+    out = prepared.withColumn("n_phospho", F.size("positions")).withColumn("position", F.explode("positions"))  # drops rows without positions
     out = out.withColumn("loc_prob", F.coalesce(P.loc_at(F.col("loc_cells"), F.col("position")), F.col("assay_prob")))
     return out.withColumn("residue", P.residue_at(F.col("sequence"), F.col("position"))).withColumn("marked", P.marked_sequence(F.col("sequence"), F.col("position")))
 
