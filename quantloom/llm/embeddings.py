@@ -15,7 +15,7 @@
 5. A panel pair emits link counts and a spanning forest of its links, at most as many rows as vectors in
    it, so a group of near copies costs no quadratic rows. Components come from the forests.
 
-Memory of a task: two panels and one tile. Rotation and cells go to executors in d x d numbers; the cells
+Memory of a task: two panels, one tile and an Arrow batch (64 MB and a row, as Spark bounds it). Rotation and cells go to executors in d x d numbers; the cells
 are at most (2 / width + 2) ^ 3, whatever the table, and are planned on the driver.
 
 Defined results: vectors that are null, empty, zero, or hold null, NaN or infinite components link with

@@ -337,9 +337,9 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
     few = scratch(few, "mh-few")
     pairs = _pairs_of(few, "bucket", percent, least)
     wide = met.where("delta is not null").drop("wide")
-    mixed = wide.where("not linked").select("a", "ath").distinct()
+    mixed = scratch(wide.where("not linked").select("a", "ath").distinct(), "mh-mixed")  # a hot centre's members are split over it
     sizes = classes.select("doc_id", "th", "n")
-    wide = wide.join(mixed, ["a", "ath"]).join(sizes.toDF("a", "ath", "an"), ["a", "ath"]).join(sizes.toDF("b", "bth", "n"), ["b", "bth"])
+    wide = wide.join(sized_broadcast(mixed), ["a", "ath"]).join(sizes.toDF("a", "ath", "an"), ["a", "ath"]).join(sizes.toDF("b", "bth", "n"), ["b", "bth"])
     wide = scratch(wide.join(labels.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b")), "mh-wide")
     if wide.limit(1).count():
         pairs = pairs.unionAll(_difference_pairs(wide, percent)).distinct()
@@ -348,7 +348,7 @@ def near_duplicates(frame: DataFrame, shingle: int = 5, percent: int = PERCENT,
     more = compare(rest, docs, shingle, percent)
     stars_so_far = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # not the links again: components are stars by now
     found = components(stars_so_far.unionAll(more.where("linked").select("a", "b")).unionAll(same.select("a", "b")))
-    drop_scratch(spark, few, wide, rest, stars, centres, labels, entries, met)
+    drop_scratch(spark, few, wide, mixed, rest, stars, centres, labels, entries, met)
     component = F.coalesce("component", "doc_id")
     return signed.join(found.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select(
         "doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
