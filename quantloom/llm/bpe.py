@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import drop_path, own_scratch, read_table, scratch, shared_dir, texts
+from quantloom.llm.common import drop_path, own_scratch, read_table, scratch, shared_dir, texts, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block of documents ends at this many characters of text or documents.
@@ -191,7 +191,7 @@ def split_blocks(frame: DataFrame, pattern: str, parts: int, vocabulary: str) ->
             cells = ids.tobytes(), nulls, pack(np.array([len(p) for p in found])), pack(places)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([vocabulary]), *(pa.array([c], pa.binary()) for c in cells), pa.array([packed], pa.list_(pa.binary()))], names)
 
-    return texts(frame).mapInArrow(run, SPLIT)
+    return texts(frame).mapInArrow(trimmed(run), SPLIT)
 
 
 def _bucketed(blocks: DataFrame, buckets: int) -> tuple[str, str]:
@@ -220,7 +220,7 @@ def encode_parts(parts: DataFrame, path: str, classes: int) -> DataFrame:
                 numbers = [len(x) for x in lists] + [i for x in lists for i in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(words)], pa.int32()), pa.array([pack(np.array(numbers))], pa.binary())], ["block", "part", "n", "ids"])
 
-    return parts.select("block", "part", "words").repartition(classes, "part").mapInArrow(run, "block long, part int, n int, ids binary")
+    return parts.select("block", "part", "words").repartition(classes, "part").mapInArrow(trimmed(run), "block long, part int, n int, ids binary")
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -326,7 +326,7 @@ def encode_documents(frame: DataFrame, path: str | None = None, pattern: str = p
     cells = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n", "ids"))).alias("cells"))
     both = blocks.drop("parts").join(cells, "block", "left")
     both = both.join(F.broadcast(nested_tokens(spark, path)), "vocabulary")
-    out = scratch(both.mapInArrow(_reassemble(with_ids), ENCODED if with_ids else ENCODED.rpartition(",")[0]), "bpe-encoded")
+    out = scratch(both.mapInArrow(trimmed(_reassemble(with_ids)), ENCODED if with_ids else ENCODED.rpartition(",")[0]), "bpe-encoded")
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, place)
     return out

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +97,17 @@ def sized_broadcast(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Meant for materialised, narrow frames, whose count costs a scan of their footers.
     """
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
+
+
+def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, and after it what it has freed goes back to the system: workers are reused, and idle ones would hold it."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import drop_scratch, read_table, scratch, sized_broadcast
+from quantloom.llm.common import drop_scratch, read_table, scratch, sized_broadcast, trimmed
 from quantloom.llm.graph import components
 
 #: Percent of the union that the intersection must reach.
@@ -181,7 +181,7 @@ def signatures(frame: DataFrame, k: int, bands: int = BANDS, rows: int = BAND_RO
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (values, remains)]
                 yield pa.RecordBatch.from_arrays([ids, ths, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=_SIGNED_ARROW)
 
-    return frame.mapInArrow(run, SIGNED)
+    return frame.mapInArrow(trimmed(run), SIGNED)
 
 
 class _Sets:
@@ -243,7 +243,7 @@ def compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                     deltas.append(differ.view(np.int64) if wide.as_py() else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hits, pa.bool_()), pa.array(deltas, pa.list_(pa.int64()))], schema=_COMPARED_ARROW)
 
-    out = scratch(sides.mapInArrow(run, COMPARED), "mh-compared")
+    out = scratch(sides.mapInArrow(trimmed(run), COMPARED), "mh-compared")
     drop_scratch(pairs.sparkSession, ends, held)
     return out
 

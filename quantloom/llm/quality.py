@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import read_table, texts
+from quantloom.llm.common import read_table, texts, trimmed
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 16, (2, 3, 4, 5)
 #: The most labelled documents that training takes.
@@ -163,7 +163,7 @@ def train_on_executor(sample: DataFrame) -> Projected:
         model = train((text, label) for _, text, label in got)
         yield pa.RecordBatch.from_arrays([pa.array([model.logits().tobytes()], pa.binary())], ["logits"])
 
-    row = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "logits binary").first()  # a bounded sample
+    row = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(trimmed(run), "logits binary").first()  # a bounded sample
     return Projected(np.frombuffer(row["logits"]) if row else np.zeros(BUCKETS))
 
 
@@ -215,7 +215,7 @@ def score_documents(frame: DataFrame, model: Model, id_col: str = "doc_id", text
                 ids, own = batch.slice(start, CHUNK).columns
                 yield pa.RecordBatch.from_arrays([ids, pa.array(scorer.scores(own.to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return texts(frame, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return texts(frame, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def keep_quality(frame: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -230,7 +230,7 @@ def keep_quality(frame: DataFrame, model: Model, threshold: float, text_col: str
                 part = batch.slice(start, CHUNK)
                 yield part.filter(pa.array([score >= threshold for score in scorer.scores(part.column(at).to_pylist())], pa.bool_()))
 
-    return frame.mapInArrow(run, frame.schema)
+    return frame.mapInArrow(trimmed(run), frame.schema)
 
 
 def held_out(doc_id: Column) -> Column:
